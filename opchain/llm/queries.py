@@ -30,8 +30,17 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from opchain.llm import packing as P
+
+    packed = P.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.withColumn("length", F.col("length").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_compression_classifier, op4_quality_rules)
+    f.__name__: f for f in (op2_compression_classifier, op4_quality_rules, op8_best_fit_packing)
 }
 
 SQL: dict[str, str] = {}
