@@ -223,6 +223,11 @@ def plan(histogram: dict[int, int], capacity: int = 2048, groups: int = 24, larg
     return best_fit(runs, left, capacity)
 
 
+def best_plan(histogram: dict[int, int], capacity: int = 2048) -> list[Run]:
+    """The plan of fewest sequences over some borders between large and small lengths."""
+    return min((plan(histogram, capacity, large=x) for x in (8, 4, 3, 2)), key=lambda runs: sum(r.times for r in runs))
+
+
 def best_fit(runs: list[Run], left: dict[int, int], capacity: int) -> list[Run]:
     """Puts what is left, largest first, into the sequences with the least room that suffices, or into new ones."""
     open_, count = defaultdict(list), np.zeros(capacity + 1, np.int64)
@@ -276,7 +281,7 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
     """Written PIECES with sequence_id and offset, gapless from 0, instead of part and at."""
     spark = cut.sparkSession
     counted = cut.groupBy("part", "length").count()
-    runs = plan({r.length: r.n for r in counted.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)
+    runs = best_plan({r.length: r.n for r in counted.groupBy("length").agg(F.sum("count").alias("n")).collect()}, capacity)
     key, sequence, offset, _ = places(runs, capacity)
     shared = spark.sparkContext.broadcast((key, sequence, offset))  # bounded by the number of lengths, not of pieces
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
