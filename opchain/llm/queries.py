@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opchain.llm import decontamination, url_filters
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -39,8 +41,20 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("length", F.col("length").cast("long"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opchain.llm import decontamination as D
+
+    return D.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opchain.llm import url_filters as U
+
+    return U.judge(*U.demo_inputs(table(spark, sf_dir, "pages"))).withColumn("fetched", F.col("fetched").cast("string"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_compression_classifier, op4_quality_rules, op8_best_fit_packing)
+    f.__name__: f for f in (op2_compression_classifier, op4_quality_rules, op5_decontamination, op7_url_filters, op8_best_fit_packing)
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_decontamination": decontamination.SQL, "op7_url_filters": url_filters.SQL}
