@@ -53,8 +53,14 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.judge(*U.demo_inputs(table(spark, sf_dir, "pages"))).withColumn("fetched", F.col("fetched").cast("string"))
 
 
+def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opchain.llm import wrapper_induction as W
+
+    return W.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_compression_classifier, op4_quality_rules, op5_decontamination, op7_url_filters, op8_best_fit_packing)
+    f.__name__: f for f in (op2_compression_classifier, op4_quality_rules, op5_decontamination, op7_url_filters, op8_best_fit_packing, op10_wrapper_induction)
 }
 
 SQL: dict[str, str] = {"op5_decontamination": decontamination.SQL, "op7_url_filters": url_filters.SQL}
