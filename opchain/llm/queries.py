@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opchain.llm import suffix_dedup as S
+
+    return S.find(table(spark, sf_dir, "documents"))
+
+
 def op2_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opchain.llm import compression_classifier as C
 
@@ -24,6 +30,12 @@ def op2_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opchain.llm import order_minhash as O
+
+    return O.find(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opchain.llm import quality_rules as Q
 
@@ -47,6 +59,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
 
 
+def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opchain.llm import compact_windows as C
+
+    return C.find(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opchain.llm import url_filters as U
 
@@ -60,7 +78,7 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_compression_classifier, op4_quality_rules, op5_decontamination, op7_url_filters, op8_best_fit_packing, op10_wrapper_induction)
+    f.__name__: f for f in (op1_suffix_dedup, op2_compression_classifier, op3_order_minhash, op4_quality_rules, op5_decontamination, op6_compact_windows, op7_url_filters, op8_best_fit_packing, op10_wrapper_induction)
 }
 
 SQL: dict[str, str] = {"op5_decontamination": decontamination.SQL, "op7_url_filters": url_filters.SQL}
