@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opchain.llm import decontamination, url_filters
+from opchain.llm import decontamination, url_filters, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,14 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.judge(*U.demo_inputs(table(spark, sf_dir, "pages"))).withColumn("fetched", F.col("fetched").cast("string"))
 
 
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from opchain.llm import warc as A
+
+    found = A.resolve(A.demo_records(table(spark, sf_dir, "pages")))
+    fields = F.transform(F.array_sort(F.map_entries("headers")), lambda x: F.concat(x["key"], F.lit(": "), x["value"]))
+    return found.withColumn("headers", F.array_join(fields, "; "))
+
+
 def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from opchain.llm import wrapper_induction as W
 
@@ -78,7 +86,7 @@ def op10_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_compression_classifier, op3_order_minhash, op4_quality_rules, op5_decontamination, op6_compact_windows, op7_url_filters, op8_best_fit_packing, op10_wrapper_induction)
+    f.__name__: f for f in (op1_suffix_dedup, op2_compression_classifier, op3_order_minhash, op4_quality_rules, op5_decontamination, op6_compact_windows, op7_url_filters, op8_best_fit_packing, op9_warc_revisits, op10_wrapper_induction)
 }
 
-SQL: dict[str, str] = {"op5_decontamination": decontamination.SQL, "op7_url_filters": url_filters.SQL}
+SQL: dict[str, str] = {"op5_decontamination": decontamination.SQL, "op7_url_filters": url_filters.SQL, "op9_warc_revisits": warc.SQL}
