@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 WINDOW = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 200_000  # windows (each under 1 kB) up to which the item side is sent to every executor
 
 
@@ -97,7 +96,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFra
     by_doc = hits.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "n")).alias("spans"), F.collect_set("items").alias("items"))
     ids = F.array_sort(F.transform(F.array_distinct(F.flatten("items")), lambda x: x.cast("string")))
     found = by_doc.select(F.col("doc_id").alias("hit_doc"), F.col("mark").alias("hit_mark"), covered(F.array_sort("spans")).alias("n_hit"), ids.alias("ids"))
-    every = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE_WORD)).cast("long").alias("n_words"))
+    every = docs.select("doc_id", F.xxhash64("text").alias("mark"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     out = every.join(found, F.col("doc_id").eqNullSafe(F.col("hit_doc")) & (F.col("mark") == F.col("hit_mark")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
