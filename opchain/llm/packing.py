@@ -20,6 +20,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +33,21 @@ from opchain.plans.arrow import map_arrow
 from opchain.plans.scratch import Scratch
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, at long"
-CACHE = 300_000  # units of text whose ids a worker remembers
+CACHE = 600_000  # units of text whose ids a worker remembers, some 50 bytes each
 _UNSURE = np.zeros(256, bool)  # bytes that may begin white space after a blank
 _UNSURE[[*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SIGN[[x for x in range(0x21, 0x7F) if not chr(x).isalnum()]] = True
 
 
 class Encoder:
     """Token ids of texts, unit by unit.
 
-    The tokenizer's pattern never joins text across the last white space of a run with what stands
-    before it, so a text can be cut there, and each different unit is encoded once.
+    The tokenizer's pattern never joins the last white space of a run, or a sign after a letter, with
+    what stands before it, so a text can be cut there, and each different unit is encoded once.
     """
 
     def __init__(self, path: str) -> None:
@@ -51,6 +55,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.whole = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]  # never cut
         self._clear()
 
     def _clear(self) -> None:
@@ -60,7 +65,7 @@ class Encoder:
     def _learn(self, units: list[str], hashes: np.ndarray) -> None:
         if len(self.known) + len(hashes) > CACHE and len(self.known):
             return self._clear()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+        found = [e.ids for i in range(0, len(units), 4096) for e in self.tokenizer.encode_batch_fast(units[i : i + 4096], add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
         begin = len(self.flat) + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
@@ -73,13 +78,20 @@ class Encoder:
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of some rows, offsets of the rows in them)."""
         everything, offsets = T.buffers(column)
-        for a, b in T.slices(offsets, 2 * T.CHUNK):
+        for a, b in T.slices(offsets):
             data, off = everything[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             n = len(data)
             cut = np.zeros(n + 1, bool)
             last = np.flatnonzero(_BLANK[data[:-1]] & ~_UNSURE[data[1:]]) if n > 1 else np.zeros(0, np.int64)
             cut[last] = True
             cut[last[data[last] != 0x20] + 1] = True
+            cut[1:n] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
+            raw = data.tobytes()
+            for special in self.whole:
+                i = raw.find(special)
+                while i >= 0:
+                    cut[i + 1 : i + len(special)] = False
+                    i = raw.find(special, i + 1)
             cut[off] = True
             cut[n] = False
             start = np.flatnonzero(cut)
@@ -92,7 +104,6 @@ class Encoder:
                 new[inside] = self.known[at[inside]] != each[inside]
                 if not new.any():
                     break
-                raw = data.tobytes()
                 self._learn([raw[start[i] : end[i]].decode() for i in where[new]], each[new])
             slot = self.slot[np.searchsorted(self.known, each)][back]
             size, begin = self.size[slot], self.begin[slot]
@@ -101,12 +112,18 @@ class Encoder:
             yield a, ids, total[np.searchsorted(start, off)]
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, which keeps what it has learned from one task to the next."""
+    return Encoder(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """PIECES of every row of docs (and their ids): a document's ids and end_id, longer ones cut, the first piece the shorter one."""
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, part = Encoder(tokenizer), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        encoder, seen, part = encoder_of(tokenizer), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             for a, ids, off in encoder.encode(batch.column(1)):
                 rows = len(off) - 1
