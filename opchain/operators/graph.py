@@ -51,7 +51,7 @@ def first_equal(rows: DataFrame, vertex: str, payload: str) -> DataFrame:
 
 def numbered(edges: DataFrame, left: list[str], right: list[str], scratch: Scratch) -> DataFrame:
     """Edges added up, with numbers lv and rv of their vertices, in the vertices' order from 1."""
-    total = scratch.keep(edges.groupBy(*left, *right).agg(F.sum("re").alias("re"), F.sum("im").alias("im")), "added")
+    total = scratch.keep(edges.groupBy(*dict.fromkeys([*left, *right])).agg(F.sum("re").alias("re"), F.sum("im").alias("im")), "added")
     lv, rv = dense_ids(total, left, "lv", scratch), dense_ids(total, right, "rv", scratch)
     return scratch.keep(total.join(lv, left).join(rv, right), "numbered")
 
