@@ -55,7 +55,20 @@ def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = ())
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], [*own, *first, "edge"])
 
     scanned = scratch.keep(map_arrow(ranged, run, schema), "runs")
-    edge = scanned.where("edge")
-    ends = edge.groupBy("key").agg(F.min(F.struct(*first)).alias("f"), F.max("doc").alias("last")).where("f.owner <> last")
-    settled = edge.select(*own).join(F.broadcast(ends), "key").select(*own, "f.*")  # two keys a partition at most
-    return scanned.where("not edge").drop("edge").unionByName(settled)
+    lowest = scanned.where("edge").groupBy("key").agg(F.min(F.struct(*first)).alias("f"), F.max("doc").alias("last")).where("f.owner <> last")
+    ends = lowest.select("key", "f.*").orderBy("key").toArrow()  # two keys a partition at most
+    shared = rows.sparkSession.sparkContext.broadcast([c.to_numpy() for c in ends.columns])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, *heads = shared.value
+        for batch in batches:
+            key, edge = batch.column("key").to_numpy(), batch.column("edge").to_numpy(zero_copy_only=False)
+            at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+            found = known[at] == key if len(known) else np.zeros(len(key), bool)
+            out = [batch.column(c) for c in own]
+            for c, head in zip(first, heads, strict=True):
+                mine = batch.column(c).to_numpy()
+                out.append(pa.array(np.where(edge & found, head[at], mine).astype(mine.dtype) if len(known) else mine))
+            yield pa.RecordBatch.from_arrays(out, [*own, *first]).filter(pa.array(~edge | found))
+
+    return map_arrow(scanned, settle, schema.removesuffix(", edge boolean"))
