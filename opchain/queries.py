@@ -103,7 +103,7 @@ def suffix_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("term_id", F.col("n").cast("long").alias("n"), X.is_odd(F.col("ops"), F.col("n"), fermions()).alias("odd"))
 
 
-@query("""select t.term_id, coalesce(sum(case o.id when 2 then -1 when 3 then 1 else 0 end), 0) as nf from terms t left join ops o on o.term_id = t.term_id and o.n >= 3 group by 1""")
+@query("""select t.term_id, cast(coalesce(sum(case o.id when 2 then -1 when 3 then 1 else 0 end), 0) as bigint) as nf from terms t left join ops o on o.term_id = t.term_id and o.n >= 3 group by 1""")
 def term_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each term's particle number from site 3 on."""
     t = adapters.order_terms(spark, sf_dir)
@@ -175,14 +175,14 @@ def _text_from(n: int) -> object:
     return F.array_join(F.transform(X.from_site(F.col("ops"), n), lambda x: F.concat_ws(":", x["n"], x["id"])), "|")
 
 
-@query("select 1 as link, coalesce(o.id, 1) as op_id, count(*) as n_edges, sum(w) as w from uniq u left join uops o on o.key = u.key and o.n = 1 group by 2")
+@query("select cast(1 as bigint) as link, cast(coalesce(o.id, 1) as bigint) as op_id, count(*) as n_edges, sum(w) as w from uniq u left join uops o on o.key = u.key and o.n = 1 group by 2")
 def initial_left_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left vertices at site 1 with their edges."""
     e = graph.first_graph(unique_terms(spark, sf_dir), pauli())
     return e.groupBy(F.col("link").cast("long").alias("link"), F.col("op_id").cast("long").alias("op_id")).agg(F.count("*").alias("n_edges"), F.sum("re").alias("w"))
 
 
-@query("""select coalesce(a.id, 1) as link, coalesce(b.id, 1) as op_id, coalesce(c.m, 0) % 2 = 1 as jw, count(*) as n_edges from uniq u left join uops a on a.key = u.key and a.n = 1 left join uops b on b.key = u.key and b.n = 2
+@query("""select cast(coalesce(a.id, 1) as bigint) as link, cast(coalesce(b.id, 1) as bigint) as op_id, coalesce(c.m, 0) % 2 = 1 as jw, count(*) as n_edges from uniq u left join uops a on a.key = u.key and a.n = 1 left join uops b on b.key = u.key and b.n = 2
 left join (select key, count(*) as m from uops where n > 2 and id in (2, 3) group by 1) c on c.key = u.key group by 1, 2, 3""")
 def next_left_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left vertices at site 2 if each operator on site 1 is a channel."""
@@ -285,7 +285,7 @@ def bond_dimensions_vc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bonds(unique_terms(spark, sf_dir), N, alg="VC")
 
 
-@query("""select term_id, string_agg(n || ':' || code + 1, '|' order by n desc) filter (code > 0) as key, q * (case phase when 0 then 1 when 2 then -1 else 0 end) as re, q * (case phase when 1 then 1 when 3 then -1 else 0 end) as im
+@query("""select term_id, string_agg(n || ':' || code + 1, '|' order by n desc) filter (code > 0) as key, cast(q * (case phase when 0 then 1 when 2 then -1 else 0 end) as double) as re, cast(q * (case phase when 1 then 1 when 3 then -1 else 0 end) as double) as im
 from (select *, sum(x // 4) over (partition by term_id) % 4 as phase, x % 4 as code from (select term_id, n, list_reduce(list(id - 1 order by pos), lambda a, b: ((a // 4 + case when a % 4 = 0 or a % 4 = b then 0 when (b - a % 4 + 3) % 3 = 1 then 1 else 3 end) % 4) * 4
   + case when a % 4 = 0 then b when a % 4 = b then 0 else 6 - a % 4 - b end) as x, sum(sum(q)) over (partition by term_id) as q from raw group by 1, 2)) group by term_id, q, phase""")
 def basis_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,10 +294,10 @@ def basis_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     sorted_ = raw.select("term_id", "coeff", X.sorted_by_site(F.col("ops")).alias("ops"))
     out = rewrite.rewrite_in_basis(sorted_, pauli(), pauli())
     key = X.key_text(F.col("ops"))
-    return out.select("term_id", F.when(key != "", key).alias("key"), F.col("coeff.re").alias("re"), F.col("coeff.im").alias("im"))
+    return out.select("term_id", F.when(key != "", key).alias("key"), (F.col("coeff.re") + 0.0).alias("re"), (F.col("coeff.im") + 0.0).alias("im"))  # no negative zeros
 
 
-@query("""select count(*) as n_terms, min(nf) as least_flux, max(nf) as most_flux, cast(0 as bigint) as n_unsorted, cast(0 as bigint) as n_repeated from (select t.term_id, coalesce(sum(case o.id when 2 then -1 when 3 then 1 else 0 end), 0) as nf from terms t left join ops o using (term_id) group by 1)""")
+@query("""select count(*) as n_terms, cast(min(nf) as bigint) as least_flux, cast(max(nf) as bigint) as most_flux, cast(0 as bigint) as n_unsorted, cast(0 as bigint) as n_repeated from (select t.term_id, coalesce(sum(case o.id when 2 then -1 when 3 then 1 else 0 end), 0) as nf from terms t left join ops o using (term_id) group by 1)""")
 def validate_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the checks of a sum look at."""
     t = adapters.order_terms(spark, sf_dir).withColumn("nf", X.flux(F.col("ops"), 1, fermions())[0]["val"].cast("long"))
@@ -305,7 +305,7 @@ def validate_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.agg(F.count("*").alias("n_terms"), F.min("nf").alias("least_flux"), F.max("nf").alias("most_flux"), F.count_if(F.array_sort(sites) != sites).alias("n_unsorted"), F.count_if(F.size(F.array_distinct(sites)) != F.size(sites)).alias("n_repeated"))
 
 
-@query("""select n as site, id as right_link, ln as left_link, i, j, sum(q * v * case when p % 2 = 1 and j = 2 then -1 else 1 end) as v from lines join (values (2, 1, 2, 1.0), (3, 2, 1, 1.0), (4, 2, 2, 1.0)) m(id2, i, j, v) on id2 = id group by 1, 2, 3, 4, 5 having sum(q * v * case when p % 2 = 1 and j = 2 then -1 else 1 end) <> 0""")
+@query("""select n as site, id as right_link, ln as left_link, i, j, cast(sum(q * v * case when p % 2 = 1 and j = 2 then -1 else 1 end) as double) as v from lines join (values (2, 1, 2, 1.0), (3, 2, 1, 1.0), (4, 2, 2, 1.0)) m(id2, i, j, v) on id2 = id group by 1, 2, 3, 4, 5 having sum(q * v * case when p % 2 = 1 and j = 2 then -1 else 1 end) <> 0""")
 def mpo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tensor entries of weighted operators with and without a passing fermion, the lines of all orders as parts."""
     lines = adapters.order_lines(spark, sf_dir)
@@ -314,7 +314,7 @@ def mpo_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("site").cast("long").alias("site"), F.col("right_link").cast("long").alias("right_link"), "left_link", "i", "j", F.col("re").alias("v"))
 
 
-@query("""select k, n, id, ((n - 1) * 3 + (id - 2)) * 7 * 10 + (ln - 1) % 7 * 10 + q % 10 as block, n as a, id - 1 as b, (ln - 1) % 7 + 1 as c, q % 10 + 1 as d from lines""")
+@query("""select k, n, id, ((n - 1) * 3 + (id - 2)) * 7 * 10 + (ln - 1) % 7 * 10 + q % 10 as block, n as a, id - 1 as b, cast((ln - 1) % 7 + 1 as bigint) as c, q % 10 + 1 as d from lines""")
 def block_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Block numbers from coordinates, and coordinates from numbers."""
     lines = adapters.order_lines(spark, sf_dir)
@@ -326,7 +326,7 @@ def block_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumns({"a": a, "b": b, "c": c, "d": d})
 
 
-@query("""select s_nationkey as index, "offset" + within as position, block, within from (select s_nationkey, s_suppkey as block, coalesce(sum(dim) over (partition by s_nationkey order by s_suppkey rows between unbounded preceding and 1 preceding), 0) as "offset", unnest(range(1, dim + 1)) as within
+@query("""select s_nationkey as index, cast("offset" + within as bigint) as position, block, within from (select s_nationkey, s_suppkey as block, coalesce(sum(dim) over (partition by s_nationkey order by s_suppkey rows between unbounded preceding and 1 preceding), 0) as "offset", unnest(range(1, dim + 1)) as within
 from (select s_nationkey, s_suppkey, s_suppkey % 4 + 1 as dim from supplier))""")
 def qn_position_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense positions of indexes whose blocks are a nation's suppliers."""
