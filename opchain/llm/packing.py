@@ -242,7 +242,7 @@ def plan(histogram: dict[int, int], capacity: int = 2048, groups: int = 24, larg
 
 def best_plan(histogram: dict[int, int], capacity: int = 2048) -> list[Run]:
     """The plan of fewest sequences over some borders between large and small lengths."""
-    return min((plan(histogram, capacity, large=x) for x in (8, 4, 3, 2)), key=lambda runs: sum(r.times for r in runs))
+    return min((plan(histogram, capacity, large=x) for x in (8, 4, 3, 2, 1)), key=lambda runs: sum(r.times for r in runs))
 
 
 def best_fit(runs: list[Run], left: dict[int, int], capacity: int) -> list[Run]:

@@ -17,8 +17,8 @@ Repeated rows give repeated rows; an empty table gives none.  Extra columns are
 
 from __future__ import annotations
 
-import gzip
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,9 +60,42 @@ def _headers(block: bytes) -> tuple[str, dict[str, str]]:
     return first.decode("utf-8", "replace").strip(), out
 
 
+def _members(raw: bytes) -> Iterator[bytes]:
+    """Decompressed pieces of a gzip file of several members, as far as they are whole."""
+    at = 0
+    while at < len(raw):
+        member = zlib.decompressobj(31)
+        while not member.eof and at < len(raw):
+            part = raw[at : at + (1 << 16)]
+            try:
+                out = member.decompress(part)
+            except zlib.error:
+                return
+            at += len(part) - len(member.unused_data)
+            yield out
+
+
+class _Stream(io.RawIOBase):
+    def __init__(self, pieces: Iterator[bytes]) -> None:
+        self.pieces, self.rest = pieces, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.rest:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.rest = piece
+        n = min(len(buffer), len(self.rest))
+        buffer[:n], self.rest = self.rest[:n], self.rest[n:]
+        return n
+
+
 def parse(raw: bytes) -> Iterator[tuple]:
     """Records of a WARC file's bytes, plain or gzipped, as tuples of RECORDS; a cut off last record is left out."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw))  # type: ignore[arg-type]
+    stream = io.BufferedReader(_Stream(_members(raw))) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
     while True:
         lines = []
         try:
