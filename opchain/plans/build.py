@@ -24,7 +24,7 @@ from opchain.operators import rewrite
 from opchain.operators.decompose import split
 from opchain.operators.terms import combine, from_names
 from opchain.plans.arrow import send_package
-from opchain.plans.local_chain import Suffixes, graph_at, ordered, step
+from opchain.plans.local_chain import Tails, graph_at, step
 from opchain.plans.ranges import running_total
 from opchain.plans.scratch import Scratch
 from opchain.sources.catalog import Catalog, SiteType
@@ -81,24 +81,29 @@ def _links(site: int, qns: list, ranks: list[int], merge: bool) -> list[tuple]:
     return out
 
 
-def _run_local(spark: SparkSession, rows: list, catalog: Catalog, o: Options, first: int, keep: Callable | None) -> tuple[list[tuple], list[tuple]]:
-    """From passed-on rows (link, suffix, re, im) at site `first`: parts and links of all sites from there."""
-    table, parts, links, n = Suffixes(catalog), [], [], len(catalog)
-    complex_ = any(r[3] for r in rows)
-    passed = [(r[0], table.of(tuple((x[0], x[1]) for x in r[1])), complex(r[2], r[3]) if complex_ else r[2]) for r in rows]
+def _run_local(rows: list, catalog: Catalog, o: Options, first: int, keep: Callable | None) -> tuple[dict[str, np.ndarray], list[tuple]]:
+    """From passed-on rows (link, suffix, re, im) at site `first`: columns of the parts, and the links, of all sites from there."""
+    n, columns, links = len(catalog), [], []
+    terms = [tuple((x[0], x[1]) for x in r[1]) for r in rows]
+    tails = Tails(catalog, terms)
+    link, tail = np.array([r[0] for r in rows]), np.array([tails.number[t] for t in terms])
+    w = np.array([r[2] for r in rows])
+    if any(r[3] for r in rows):
+        w = w + 1j * np.array([r[3] for r in rows])
     for site in range(first, n + 1):
-        g = graph_at(site, passed, table)
-        right, used = ordered(g.right, table)
-        small = Suffixes(catalog, items=[table.items[k] for k in used])
-        s = step(g.left, right, g.w, small, site == n, o.alg, o.tol, o.absolute_tol, o.combine_sectors)
-        here = [(site, c, m, *g.lefts[v][:1], g.lefts[v][1], g.lefts[v][2], float(np.real(w)), float(np.imag(w))) for c, m, v, w in zip(s.component, s.right_link, s.vertex, s.weight, strict=True)]
-        link = _links(site, s.qns, s.ranks, o.combine_sectors)
-        passed = [(m, used[j], w) for m, j, w in s.passed]
-        parts += here
-        links += link
+        g = graph_at(site, link, tail, w, tails)
+        s = step(g, tails, site == n, o.alg, o.tol, o.absolute_tol, o.combine_sectors)
+        left = g.lefts[s.vertex]
+        here = (np.full(len(s.vertex), site), s.component, s.right_link, left[:, 0], left[:, 1], left[:, 2].astype(bool), np.real(s.weight).astype(float), np.imag(s.weight).astype(float))
+        made = _links(site, s.qns, s.ranks, o.combine_sectors)
+        link, tail, w = s.link, s.tail, s.passed
+        columns.append(here)
+        links += made
         if keep is not None:
-            keep(site, here, link, [(m, list(table.items[j]), float(np.real(w)), float(np.imag(w))) for m, j, w in passed])
-    return parts, links
+            rest = [(a, list(tails.items[t]), float(np.real(v)), float(np.imag(v))) for a, t, v in zip(link.tolist(), tail.tolist(), w.tolist(), strict=True)]
+            keep(site, list(zip(*(c.tolist() for c in here), strict=True)), made, rest)
+    names = [x.split()[0] for x in schema.PLACED.split(", ")]
+    return dict(zip(names, (np.concatenate(c) for c in zip(*columns, strict=True)), strict=True)), links
 
 
 def _distributed_site(edges: DataFrame, site: int, catalog: Catalog, o: Options, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -159,8 +164,10 @@ def _continue(spark: SparkSession, catalog: Catalog, passed: DataFrame, first: i
         save(site, spark.createDataFrame(parts, schema.PLACED), spark.createDataFrame(links, schema.LINKS), spark.createDataFrame(following, passed_schema))
 
     if passed.limit(local_terms + 1).count() <= local_terms:
-        parts, links = _run_local(spark, [tuple(r) for r in passed.select("link", "suffix", "re", "im").collect()], catalog, o, first, keep if hook or checkpoint else None)
-        return Mpo(catalog, _rows(spark, parts, schema.PLACED), spark.createDataFrame(links, schema.LINKS))
+        parts, links = _run_local([tuple(r) for r in passed.select("link", "suffix", "re", "im").collect()], catalog, o, first, keep if hook or checkpoint else None)
+        import pandas as pd
+
+        return Mpo(catalog, spark.createDataFrame(pd.DataFrame(parts), schema.PLACED), spark.createDataFrame(links, schema.LINKS))
     for site in range(first, n + 1):
         parts, links, following = _distributed_site(G.next_graph(passed, site, catalog), site, catalog, o, scratch)
         parts, links, passed = scratch.keep(parts, "parts"), scratch.keep(links, "links"), scratch.keep(following, "passed")
@@ -177,13 +184,6 @@ def _continue(spark: SparkSession, catalog: Catalog, passed: DataFrame, first: i
     return Mpo(catalog, scratch.keep(union(frames[0]), "all-parts"), scratch.keep(union(frames[1]), "all-links"))
 
 
-def _rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
-    import pandas as pd
-
-    names = [x.split()[0] for x in ddl.split(", ")]
-    return spark.createDataFrame(pd.DataFrame(dict(zip(names, zip(*rows, strict=True), strict=True))) if rows else [], ddl)
-
-
 def build(
     terms: DataFrame, catalog: Catalog, options: Options | None = None, basis: Catalog | None = None, check: bool = True, abs_tol: float = 0.0,
     hook: Hook | None = None, checkpoint: str | None = None, local_terms: int = LOCAL_TERMS,
