@@ -27,6 +27,7 @@ from opchain.plans.arrow import send_package
 from opchain.plans.local_chain import Tails, graph_at, step
 from opchain.plans.ranges import running_total
 from opchain.plans.scratch import Scratch
+from opchain.plans.timing import timed
 from opchain.sources.catalog import Catalog, SiteType
 
 LOCAL_TERMS = 200_000
@@ -34,12 +35,13 @@ LOCAL_TERMS = 200_000
 
 @dataclass(frozen=True)
 class Options:
-    """How to decompose: algorithm QR or VC, QR's tolerance (a multiple of the default one, or absolute), and whether to merge sectors of equal quantities."""
+    """How to decompose: algorithm QR or VC, QR's tolerance (a multiple of the default one, or absolute), whether to merge sectors of equal quantities; and what times to print (1: of stages, 2: of sites)."""
 
     alg: str = "QR"
     tol: float = 1.0
     absolute_tol: bool = False
     combine_sectors: bool = False
+    output_level: int = 0
 
     def __post_init__(self) -> None:
         if self.alg not in ("QR", "VC"):
@@ -164,13 +166,15 @@ def _continue(spark: SparkSession, catalog: Catalog, passed: DataFrame, first: i
         save(site, spark.createDataFrame(parts, schema.PLACED), spark.createDataFrame(links, schema.LINKS), spark.createDataFrame(following, passed_schema))
 
     if passed.limit(local_terms + 1).count() <= local_terms:
-        parts, links = _run_local([tuple(r) for r in passed.select("link", "suffix", "re", "im").collect()], catalog, o, first, keep if hook or checkpoint else None)
+        with timed(spark, "site loop in arrays", o.output_level):
+            parts, links = _run_local([tuple(r) for r in passed.select("link", "suffix", "re", "im").collect()], catalog, o, first, keep if hook or checkpoint else None)
         import pandas as pd
 
         return Mpo(catalog, spark.createDataFrame(pd.DataFrame(parts), schema.PLACED), spark.createDataFrame(links, schema.LINKS))
     for site in range(first, n + 1):
-        parts, links, following = _distributed_site(G.next_graph(passed, site, catalog), site, catalog, o, scratch)
-        parts, links, passed = scratch.keep(parts, "parts"), scratch.keep(links, "links"), scratch.keep(following, "passed")
+        with timed(spark, f"site {site} of {n}", o.output_level, 2):
+            parts, links, following = _distributed_site(G.next_graph(passed, site, catalog), site, catalog, o, scratch)
+            parts, links, passed = scratch.keep(parts, "parts"), scratch.keep(links, "links"), scratch.keep(following, "passed")
         save(site, parts, links, passed)
         frames[0].append(parts)
         frames[1].append(links)
@@ -194,11 +198,14 @@ def build(
     An empty sum, or one that cancels, raises ValueError.
     """
     spark, o = terms.sparkSession, options or Options()
-    terms, catalog = rewrite.prepare(terms, catalog, basis)
+    with timed(spark, "rewriting", o.output_level):
+        terms, catalog = rewrite.prepare(terms, catalog, basis)
     if check:
-        rewrite.validate(terms, catalog)
+        with timed(spark, "checks", o.output_level):
+            rewrite.validate(terms, catalog)
     unique = combine(terms, abs_tol)
-    passed = Scratch(spark, "terms").keep(unique.select(F.lit(1).alias("link"), F.col("ops").alias("suffix"), "re", "im"), "unique")
+    with timed(spark, "like terms", o.output_level):
+        passed = Scratch(spark, "terms").keep(unique.select(F.lit(1).alias("link"), F.col("ops").alias("suffix"), "re", "im"), "unique")
     if passed.isEmpty():
         raise ValueError("The sum has no terms")
     return _continue(spark, catalog, passed, 1, o, hook, checkpoint, local_terms)

@@ -74,6 +74,20 @@ def transcorrelated_hubbard(spark: SparkSession, n: int, j: float, t: float = 1.
     return _numbered(parts)
 
 
+def reorder_sites(raw: DataFrame, order: list[int]) -> DataFrame:
+    """The sum with site n moved to place order[n - 1]; a good order of modes keeps bonds small.  Operators keep their order, so no sign changes here."""
+    if sorted(order) != list(range(1, len(order) + 1)):
+        raise ValueError("order must hold each site once")
+    place = F.array(*map(F.lit, order))
+    return raw.withColumn("ops", F.transform("ops", lambda x: _op(x["name"], F.element_at(place, x["n"]))))
+
+
+def inside_out(n: int) -> list[int]:
+    """An order of modes 1 .. n on a ring by distance from mode 1: opposite momenta become neighbours."""
+    by_distance = sorted(range(n), key=lambda k: (min(k, n - k), k))
+    return [by_distance.index(k) + 1 for k in range(n)]
+
+
 def electronic_structure(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
     """One- and two-electron terms with generic coefficients of the symmetry of real integrals; order n**4 terms."""
     unit = lambda *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 20)) / (1 << 20) - 0.5

@@ -110,6 +110,23 @@ def test_ranks_at_all_cuts_at_once(spark):
         bond_dimensions(unique, 6, alg="LU")
 
 
+def test_reordered_modes(spark, capsys):
+    raw, sites = W.hubbard_momentum_space(spark, 4), [site_type("Electron")] * 4
+    moved = W.reorder_sites(raw, W.inside_out(4))
+    assert W.inside_out(4) == [1, 2, 4, 3]
+    m = build_from_names(moved, sites, options=Options(output_level=1), basis=Catalog.uniform("Electron", 4, W.ELECTRON_BASIS))
+    assert np.abs(T.dense(m) - exact(moved.collect(), sites)).max() < 1e-12
+    assert "site loop" in capsys.readouterr().out
+    with pytest.raises(ValueError, match="each site once"):
+        W.reorder_sites(raw, [1, 1, 2, 3])
+
+
+def test_three_body_terms(spark):
+    raw, sites = W.transcorrelated_hubbard(spark, 3, -0.3), [site_type("Electron")] * 3
+    m = build_from_names(raw, sites, basis=Catalog.uniform("Electron", 3, W.ELECTRON_BASIS))
+    assert np.abs(T.dense(m) - exact(raw.collect(), sites)).max() < 1e-11
+
+
 def test_empty_sums(spark):
     q = Catalog.uniform("Qubit", 2, ["I", "X"], False)
     for rows in ([], [(0, (1.0, 0.0), [(1, 2)]), (1, (-1.0, 0.0), [(1, 2)])]):
