@@ -5,12 +5,13 @@ Under one hash function, all passages whose least hash stands at position c form
 between its left end and c and end between c and its right end.  The windows are the nodes of the
 Cartesian tree of the hashes whose span is long enough; they are found from sliding minima and a search for the
 nearest smaller values.  Windows with an equal least hash hold passages that share that min-hash.  The
-windows of all texts are sorted by that hash, each is joined with the window of the first text that has it, and where windows of two
-texts overlap under ENOUGH different functions the pair of texts is verified: equal runs are chained, and a chain is a
-passage if it has 50 words or more and a similarity of 0.8 or more on five-word runs.  Windows whose pair
-fails are compared again among each other, until no two texts are left that share a window and have not met their owner.
+windows of all texts are sorted by that hash, each is joined with the window of the first text that has it, and where joined windows of two
+texts meet in one stretch under ENOUGH different functions the pair of texts is verified: equal runs are chained, and a chain is a
+passage if it has 50 words or more and a similarity of 0.8 or more on five-word runs.  Windows outside
+the passages found are joined again without the first text, OWNERS times in all.  So this search is approximate, as min-hashing itself is: a passage
+whose only partners are neither of the first OWNERS texts that have its least hashes is missed; the tests and the README measure how rarely.
 
-Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z in lower case.
+Words are runs of other characters than [\\x20\\x09-\\x0D].
 
 Nulls, empty and odd input: null, empty and short texts have no windows; rows without doc_id are left
 out; rows with one doc_id are one document, whose texts all count as its own.  Equal texts are one for the
@@ -27,14 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opchain.llm import text as T
-from opchain.llm.order_minhash import labels
+from opchain.llm.order_minhash import labels_of
 from opchain.llm.passages import distinct_texts, shared_runs
-from opchain.plans.arrow import map_arrow
+from opchain.plans.arrow import batches_of, map_arrow
 from opchain.plans.scratch import Scratch
 
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
 LEAST = WORDS - SHINGLE + 1
-FUNCTIONS, ENOUGH, GAP = 5, 2, 24
+FUNCTIONS, ENOUGH, GAP, SPAN = 5, 2, 24, 128
+OWNERS = 4
 
 
 def compact_windows(value: np.ndarray, whole: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,13 +63,17 @@ def compact_windows(value: np.ndarray, whole: np.ndarray, least: int) -> tuple[n
 
 
 def windows(docs: DataFrame, functions: int = FUNCTIONS, least: int = LEAST) -> DataFrame:
-    """(key, doc, pos, lo, hi, fn) of all compact windows; positions count five-word runs of the row's text."""
+    """(key, doc, pos, fn) of all compact windows: least hash, where it stands, counted in five-word runs of the row's text, and the function.
+
+    A node of the Cartesian tree spans `least` positions or more if and only if it is least in some run of `least`, and the join needs no
+    ends: every passage of a window holds its centre, so the centres of the windows of one shared passage lie within it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = T.mix(np.arange(1, functions + 1, dtype=T.U) * T.U(0xA24BAED4963EE407))
         for batch in batches:
             docs_ = batch.column(0).to_numpy()
-            for a, _, w in T.words(batch.column(1), T.NON_ALNUM, lower=True):
+            for a, _, w in T.words(batch.column(1)):
                 if not len(w.hash):
                     continue
                 value, valid = w.grams(SHINGLE)
@@ -75,47 +81,24 @@ def windows(docs: DataFrame, functions: int = FUNCTIONS, least: int = LEAST) ->
                 whole = np.arange(n) + least + SHINGLE - 1 <= w.stop
                 for fn in range(functions):
                     v = np.where(valid, T.mix(value ^ seeds[fn]) | T.U(1), T.U(0))
-                    c, lo, hi = compact_windows(v, whole, least)
-                    base = w.first[w.row[c]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(T.signed(T.mix(v[c] + T.U(fn)))), pa.array(docs_[a + w.row[c]]), *(pa.array((x - base).astype(np.int32)) for x in (c, lo, hi)), pa.array(np.full(len(c), fn), pa.int32())],
-                        ["key", "doc", "pos", "lo", "hi", "fn"],
-                    )
+                    c = T.minimisers(v, whole, least)  # the centres that compact_windows gives
+                    at = (c - w.first[w.row[c]]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(T.signed(T.mix(v[c] + T.U(fn)))), pa.array(docs_[a + w.row[c]]), pa.array(at), pa.array(np.full(len(c), fn, np.int8))], ["key", "doc", "pos", "fn"])
 
     known = docs.select("doc_id", "text").where("doc_id is not null")
-    return map_arrow(known, run, "key long, doc long, pos int, lo int, hi int, fn int")
-
-
-def overlapping(fn: np.ndarray, lo: np.ndarray, hi: np.ndarray, olo: np.ndarray, ohi: np.ndarray, least: int, enough: int) -> bool:
-    """Whether some joined windows of `enough` different functions have `least` positions in common in both texts."""
-    order = np.argsort(lo, kind="stable")
-    fn, lo, hi, olo, ohi = (x[order] for x in (fn, lo, hi, olo, ohi))
-    n = len(fn)
-    met = np.zeros((n, int(fn.max()) + 1), bool)
-    met[np.arange(n), fn] = True
-    for s in range(1, n):
-        near = lo[s:] <= hi[:-s] - least + 1
-        if not near.any():
-            break
-        ok = near & (np.minimum(hi[:-s], hi[s:]) - lo[s:] + 1 >= least) & (np.minimum(ohi[:-s], ohi[s:]) - np.maximum(olo[:-s], olo[s:]) + 1 >= least)
-        i = np.flatnonzero(ok)
-        met[i, fn[i + s]] = True
-        met[i + s, fn[i]] = True
-    return bool((met.sum(1) >= enough).any())
-
-
-def candidates(shared: DataFrame, least: int = LEAST, enough: int = ENOUGH) -> DataFrame:
-    """(doc, owner) of the joined windows that meet the interval condition.  A pair has as many windows as its shorter list at most."""
-    grouped = shared.groupBy("doc", "owner").agg(F.collect_list(F.struct("fn", "lo", "hi", "owner_lo", "owner_hi")).alias("w"))
+    return map_arrow(known, run, "key long, doc long, pos int, fn tinyint")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for rows in batch.column(2):
-                keep.append(overlapping(*(rows.values.field(i).to_numpy(zero_copy_only=False) for i in range(5)), least, enough))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(grouped.where(F.size("w") >= enough), run, "doc long, owner long")
+def candidates(shared: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """(doc, owner) with joined windows of `enough` different functions whose centres lie in one stretch of SPAN positions.
+
+    An interval join by buckets: stretches overlap by half, so centres that are half a stretch apart at most always meet in one.
+    Counted as bits, before the shuffle.
+    """
+    at = F.floor(F.col("pos") / (SPAN // 2)).cast("int")
+    each = shared.select("doc", "owner", F.expr("shiftleft(1, fn)").alias("bit"), F.explode(F.array(at, at - 1)).alias("s"))
+    seen = each.groupBy("doc", "owner", "s").agg(F.bit_or("bit").alias("bits")).where(F.bit_count("bits") >= enough)
+    return seen.select("doc", "owner").distinct()
 
 
 def chains(a: np.ndarray, b: np.ndarray, words: int = WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
@@ -152,13 +135,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                sides = []
-                for c in (2, 3):
-                    rows: list[np.ndarray] = []
-                    for _, _, w in T.words(part.column(c), T.NON_ALNUM, lower=True):
-                        label, first = labels(w)
-                        rows += np.split(label, first[1:-1])
-                    sides.append(rows)
+                sides = [labels_of(part.column(c), T.SPACES, False) for c in (2, 3)]
                 found = [(d, o, *p) for d, o, x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), *sides, strict=True) for p in chains(x, y)]
                 doc, owner, s, e, os_, oe, sim = zip(*found, strict=True) if found else [[]] * 7
                 yield pa.RecordBatch.from_arrays(
@@ -172,39 +149,48 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(joined, run, "doc long, start int, stop int, owner long, owner_start int, owner_stop int, similarity double")
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, match_doc_id, match_start, match_stop, similarity): passages, in words, that another document has nearly alike.
+def outside(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (doc, pos) that lie in none of the passages found, on either side of them."""
+    sides = found.select(F.col("doc").alias("d"), F.col("start").alias("from"), F.col("stop").alias("till")).union(found.select("owner", "owner_start", "owner_stop")).distinct()
+    return rows.join(sides, (F.col("doc") == F.col("d")) & (F.col("pos") >= F.col("from")) & (F.col("pos") + SHINGLE <= F.col("till")), "left_anti")
 
-    Each is given with the place it was verified against, in a lesser doc_id; a copy of another document's whole text has that as its one match.
-    """
-    scratch = Scratch(docs.sparkSession, "windows")
-    plain = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    n_words = F.size(F.array_remove(F.split(plain, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), ""))
-    marked = docs.where("doc_id is not null").select("doc_id", F.md5("text").alias("text_key"))
-    members = scratch.keep(distinct_texts(marked.withColumn("text_key", F.coalesce("text_key", F.md5(F.lit(""))))), "members")
-    copies = members.where("doc_id <> first")
-    open_ = scratch.keep(windows(docs), "all")
-    whole_texts, texts, out = docs.select(F.col("doc_id").alias("id"), "text"), None, None
-    while True:
-        extra = ("lo", "hi", "fn")
+
+def search(docs: DataFrame, copies: DataFrame, scratch: Scratch, owners: int = OWNERS) -> list[DataFrame]:
+    """Verified passages between different texts, as written tables; copies are documents whose text a lesser doc_id has."""
+    extra = ("fn",)
+    open_, out, tested, texts = scratch.keep(windows(docs), "open"), [], None, None
+    for _ in range(owners):
         shared = shared_runs(open_, scratch, extra).where("doc <> owner")
         if texts is None:
             shared = shared.join(copies.select(F.col("doc_id").alias("doc")), "doc", "left_anti")
         shared = scratch.keep(shared, "shared")
         scratch.drop(open_)
-        pairs = scratch.keep(candidates(shared), "pairs")
-        if pairs.isEmpty():
-            break
-        if texts is None:  # all that any later round can ask for
+        if texts is None:
             wanted = shared.select(F.col("doc").alias("id")).union(shared.select("owner")).distinct()
-            texts = scratch.keep(whole_texts.join(wanted, "id", "left_semi"), "texts")
-        found = scratch.keep(verify(pairs, texts), "found")
-        out = found if out is None else out.unionByName(found)
-        good = found.select("doc", "owner").distinct()
-        open_ = scratch.keep(shared.join(good, ["doc", "owner"], "left_anti").select("key", "doc", "pos", *extra), "left")
-    none = docs.sparkSession.createDataFrame([], "doc long, start int, stop int, owner long, owner_start int, owner_stop int, similarity double")
-    near = (none if out is None else out).distinct().select(F.col("doc").alias("doc_id"), "start", "stop", F.col("owner").alias("match_doc_id"), F.col("owner_start").alias("match_start"), F.col("owner_stop").alias("match_stop"), "similarity")
-    lengths = docs.select("doc_id", n_words.alias("n")).groupBy("doc_id").agg(F.max("n").alias("n"))
-    whole = copies.join(lengths, "doc_id").where(F.col("n") >= WORDS)
+            texts = scratch.keep(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi"), "texts")
+        pairs = candidates(shared) if tested is None else candidates(shared).join(tested, ["doc", "owner"], "left_anti")
+        pairs = scratch.keep(pairs, "pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        out.append(scratch.keep(verify(pairs, texts), "found"))
+        open_ = scratch.keep(outside(shared, out[-1]).select("key", "doc", "pos", *extra), "left")
+    return out
+
+
+def find(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, stop, match_doc_id, match_start, match_stop, similarity): passages, in words, that another document has nearly alike.
+
+    Each is given with the place it was verified against, in a lesser doc_id; a copy of another document's whole text has that as its one match.
+    """
+    scratch = Scratch(docs.sparkSession, "windows")
+    marked = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.md5("text"), F.md5(F.lit(""))).alias("text_key"))
+    copies = scratch.keep(distinct_texts(marked).where("doc_id <> first"), "copies")
+    with batches_of(docs.sparkSession, 1000):
+        tables = search(docs, copies, scratch)
+    near = tables[0]
+    for x in tables[1:]:
+        near = near.unionByName(x)
+    near = near.distinct().select(F.col("doc").alias("doc_id"), "start", "stop", F.col("owner").alias("match_doc_id"), F.col("owner_start").alias("match_start"), F.col("owner_stop").alias("match_stop"), "similarity")
+    n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""))
+    whole = docs.select("doc_id", "text").join(copies, "doc_id").select("doc_id", "first", n_words.alias("n")).groupBy("doc_id", "first").agg(F.max("n").alias("n")).where(F.col("n") >= WORDS)
     zero = F.lit(0)
     return near.unionByName(whole.select("doc_id", zero.alias("start"), F.col("n").alias("stop"), F.col("first").alias("match_doc_id"), zero.alias("match_start"), F.col("n").alias("match_stop"), F.lit(1.0).alias("similarity")))

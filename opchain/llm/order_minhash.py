@@ -118,6 +118,16 @@ def alignment(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> f
     return c / (both - c)
 
 
+def labels_of(column: pa.Array, separators: np.ndarray = T.NON_ALNUM, lower: bool = True) -> list[np.ndarray]:
+    """Labels of each row's text; equal texts are read once."""
+    coded = column.fill_null("").dictionary_encode()
+    rows: list[np.ndarray] = []
+    for _, _, w in T.words(coded.dictionary, separators, lower):
+        label, begin = labels(w)
+        rows += np.split(label, begin[1:-1])
+    return [rows[k] for k in coded.indices.to_pylist()]
+
+
 def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) whose texts, from (doc, text), are similar enough.  Each text is shuffled once for each side, whatever the number of its pairs."""
 
@@ -125,13 +135,7 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                sides = []
-                for c in (2, 3):
-                    rows: list[np.ndarray] = []
-                    for _, _, w in T.words(part.column(c), T.NON_ALNUM, lower=True):
-                        label, first = labels(w)
-                        rows += np.split(label, first[1:-1])
-                    sides.append(rows)
+                sides = [labels_of(part.column(c)) for c in (2, 3)]
                 keep = [alignment(x, y, similarity) >= similarity for x, y in zip(*sides, strict=True)]
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -166,7 +170,7 @@ def near_classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     open_ = scratch.keep(banded.join(shared, "band").select("band", "doc"), "open")
     scratch.drop(banded)
     wanted = open_.select("doc").distinct()
-    texts = scratch.keep(docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc", "left_semi"), "texts")
+    texts = scratch.keep(docs.select(F.col("doc_id").alias("doc"), "text").join(wanted.hint("merge"), "doc", "left_semi"), "texts")
     entries = scratch.keep(rows.select(F.col("doc_id").alias("doc"), "entries").join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "entries")
     equal = F.aggregate(F.zip_with("entries", "lead_entries", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     links = tested = found = None
@@ -207,7 +211,7 @@ def remove_near(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "order-minhash")
     out, repeated = near_classes(docs, scratch)
     stay = scratch.keep(out.where("doc_id = class_id").select(F.col("doc_id").alias("_near_doc")), "stay")
-    kept = docs.join(stay, docs["doc_id"] == F.col("_near_doc"), "left_semi")
+    kept = docs.join(stay.hint("merge"), docs["doc_id"] == F.col("_near_doc"), "left_semi")  # the list grows with the input: the same join at every size
     if not repeated.isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
