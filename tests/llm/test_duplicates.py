@@ -132,6 +132,21 @@ def test_many_near_copies_of_one_text(spark):
     assert {r.class_id for r in O.find(docs).collect()} == {0}
 
 
+def test_group_around_the_last_text(spark):
+    """Every copy is like the text of the highest doc_id only: it settles with the least copy and must still meet the others."""
+    rng = random.Random(11)
+    base = ["w%d" % rng.randrange(10**6) for _ in range(200)]
+    texts = []
+    for _ in range(60):
+        w = base[:]
+        shift = rng.randrange(40)
+        for k in range(4):
+            w[6 + shift + 45 * k] = "e%d" % rng.randrange(10**6)
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame([*enumerate(texts), (999, " ".join(base))], "doc_id long, text string")
+    assert {r.class_id for r in O.find(docs).collect()} == {0}
+
+
 def test_compact_windows_match_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(60):
