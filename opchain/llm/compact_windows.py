@@ -6,7 +6,7 @@ between its left end and c and end between c and its right end.  The windows are
 Cartesian tree of the hashes whose span is long enough; they are found from sliding minima and a search for the
 nearest smaller values.  Windows with an equal least hash hold passages that share that min-hash.  The
 windows of all texts are sorted by that hash, each is joined with the window of the first text that has it, and where joined windows of two
-texts meet in one stretch under ENOUGH different functions the pair of texts is verified: equal runs are chained, and a chain is a
+texts meet in one stretch under ENOUGH different functions the pair of texts is verified: equal runs, every place of one with every place of the other, are chained in order, and a chain is a
 passage if it has 50 words or more and a similarity of 0.8 or more on five-word runs.  Windows outside
 the passages found are joined again without the first text, OWNERS times in all.  So this search is approximate, as min-hashing itself is: a passage
 whose only partners are neither of the first OWNERS texts that have its least hashes is missed; the tests and the README measure how rarely.
@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opchain.llm import text as T
-from opchain.llm.order_minhash import labels_of
 from opchain.llm.passages import distinct_texts, shared_runs
 from opchain.plans.arrow import batches_of, map_arrow
 from opchain.plans.scratch import Scratch
@@ -37,6 +36,8 @@ SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
 LEAST = WORDS - SHINGLE + 1
 FUNCTIONS, ENOUGH, GAP, SPAN = 5, 2, 24, 128
 OWNERS = 4
+NEED = int(np.ceil(2 * LEAST * SIMILARITY / (1 + SIMILARITY)))  # equal runs that the shortest passage has
+POINTS = 2_000_000  # pairs of equal runs of two texts, up to which every place is held against every other
 
 
 def compact_windows(value: np.ndarray, whole: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,30 +102,93 @@ def candidates(shared: DataFrame, enough: int = ENOUGH) -> DataFrame:
     return seen.select("doc", "owner").distinct()
 
 
-def chains(a: np.ndarray, b: np.ndarray, words: int = WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
-    """(start, stop, start, stop, similarity) in words of the passages that two label sequences share."""
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    order = np.argsort(i)
-    i, j = i[order], j[order]
-    if not len(i):
+def grams_of(column: pa.Array) -> list[np.ndarray]:
+    """Hashes of each row's five-word runs, in text order; equal texts are read once."""
+    coded = column.fill_null("").dictionary_encode()
+    rows: list[np.ndarray] = []
+    for _, _, w in T.words(coded.dictionary):
+        value, whole = w.grams(SHINGLE)
+        rows += [value[x:y][whole[x:y]] for x, y in zip(w.first[:-1], w.first[1:], strict=True)]
+    return [rows[k] for k in coded.indices.to_pylist()]
+
+
+def _diagonals(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, length) of the longest stretches in which a[i:] and b[j:] are equal, every place with every other, by i and j."""
+    order = np.argsort(b, kind="stable")
+    low = np.searchsorted(b[order], a, "left")
+    n = np.searchsorted(b[order], a, "right") - low
+    if n.sum() > POINTS:  # texts of one repeated line or word: the k-th place of a run with the k-th
+        a, b = (T.mix(x + T.mix(T.occurrences(np.zeros(len(x), np.int64), x).astype(T.U))) for x in (a, b))
+        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    else:
+        i = np.repeat(np.arange(len(a)), n)
+        j = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(i))]
+    by = np.lexsort((i, j - i))
+    i, j = i[by], j[by]
+    new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)])) if len(i) else np.zeros(0, np.int64)
+    size = np.diff(np.append(new, len(i)))
+    by = np.lexsort((j[new], i[new]))
+    return i[new][by], j[new][by], size[by]
+
+
+def _ascending(a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The longest ascending chains of matches without gaps over GAP: one for each stretch that no longer chain has used."""
+    i, j, size = _diagonals(a, b)
+    if size.sum() < NEED:
         return []
-    cut = np.flatnonzero((j[1:] <= j[:-1]) | (i[1:] - i[:-1] > GAP) | (j[1:] - j[:-1] > GAP)) + 1
-    todo = list(zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(i)]]), strict=True))
-    out = []
-    while todo:
-        s, e = todo.pop()
-        m = e - s
-        n, k = i[e - 1] - i[s] + 1, j[e - 1] - j[s] + 1
-        if max(n, k) + SHINGLE - 1 < words:
-            continue
-        share = m / (n + k - m)
-        if share >= similarity:
-            if min(n, k) + SHINGLE - 1 >= words:
-                out.append((int(i[s]), int(i[e - 1]) + SHINGLE, int(j[s]), int(j[e - 1]) + SHINGLE, float(share)))
+    score, back, skip = size.copy(), np.full(len(i), -1), np.zeros(len(i), np.int64)
+    last_i, last_j = i + size - 1, j + size - 1
+    active = np.zeros(0, np.int64)
+    for r in range(len(i)):
+        active = active[last_i[active] >= i[r] - GAP]
+        over = np.maximum(np.maximum(last_i[active] + 1 - i[r], last_j[active] + 1 - j[r]), 0)
+        fits = (over < size[r]) & (i[r] + over - last_i[active] <= GAP) & (j[r] + over - last_j[active] <= GAP)
+        if fits.any():
+            q, o = active[fits], over[fits]
+            k = int(np.argmax(score[q] - o))
+            if score[q[k]] > o[k]:
+                score[r], back[r], skip[r] = size[r] + score[q[k]] - o[k], q[k], o[k]
+        active = np.append(active, r)
+    used, out = np.zeros(len(i), bool), []
+    for end in np.argsort(-score, kind="stable").tolist():
+        if score[end] < NEED:
+            break
+        if used[end]:
             continue
-        step = np.maximum(i[s + 1 : e] - i[s : e - 1], j[s + 1 : e] - j[s : e - 1])
-        at = s + 1 + int(step.argmax())
-        todo += [(s, at), (at, e)]
+        path = []
+        while end >= 0:
+            used[end] = True
+            path.append(end)
+            end = int(back[end])
+        path.reverse()
+        first = [0, *skip[path[1:]].tolist()]
+        out.append(tuple(np.concatenate([np.arange(x[r] + f, x[r] + size[r]) for r, f in zip(path, first, strict=True)]) for x in (i, j)))
+    return out
+
+
+def chains(a: np.ndarray, b: np.ndarray, words: int = WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
+    """(start, stop, start, stop, similarity) in words of the passages that two sequences of five-word runs share, at every place of either.
+
+    A passage that lies within another on both sides is not given again.
+    """
+    out: list[tuple[int, int, int, int, float]] = []
+    for i, j in _ascending(a, b):
+        todo = [(0, len(i))]
+        while todo:
+            s, e = todo.pop()
+            m = e - s
+            n, k = i[e - 1] - i[s] + 1, j[e - 1] - j[s] + 1
+            if max(n, k) + SHINGLE - 1 < words:
+                continue
+            share = m / (n + k - m)
+            if share >= similarity:
+                new = (int(i[s]), int(i[e - 1]) + SHINGLE, int(j[s]), int(j[e - 1]) + SHINGLE, float(share))
+                if min(n, k) + SHINGLE - 1 >= words and not any(x[0] <= new[0] and new[1] <= x[1] and x[2] <= new[2] and new[3] <= x[3] for x in out):
+                    out.append(new)
+                continue
+            step = np.maximum(i[s + 1 : e] - i[s : e - 1], j[s + 1 : e] - j[s : e - 1])
+            at = s + 1 + int(step.argmax())
+            todo += [(s, at), (at, e)]
     return sorted(out)
 
 
@@ -135,7 +199,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                sides = [labels_of(part.column(c), T.SPACES, False) for c in (2, 3)]
+                sides = [grams_of(part.column(c)) for c in (2, 3)]
                 found = [(d, o, *p) for d, o, x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), *sides, strict=True) for p in chains(x, y)]
                 doc, owner, s, e, os_, oe, sim = zip(*found, strict=True) if found else [[]] * 7
                 yield pa.RecordBatch.from_arrays(

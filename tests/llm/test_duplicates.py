@@ -167,6 +167,19 @@ def test_compact_windows_match_brute_force():
         assert got == want
 
 
+def test_passages_at_every_place():
+    """A passage held twice is given twice, and a phrase that stands earlier in one text does not cut it."""
+    rng = np.random.default_rng(4)
+    new = lambda n: rng.integers(1, 1 << 60, n).astype(T.U)
+    p, x, y = new(60), new(100), new(100)
+    twice = np.concatenate([x[:50], p, x[50:], p])
+    assert [c[:4] for c in W.chains(twice, np.concatenate([y, p]))] == [(50, 114, 100, 164), (160, 224, 100, 164)]
+    assert [c[:4] for c in W.chains(np.concatenate([y, p]), twice)] == [(100, 164, 50, 114), (100, 164, 160, 224)]
+    assert [c[:4] for c in W.chains(np.concatenate([p[30:31], x, p]), np.concatenate([y, p]))] == [(101, 165, 100, 164)]
+    same = np.full(3000, p[0])
+    assert W.chains(same, same) == [(0, 3004, 0, 3004, 1.0)] and W.chains(x, y) == [] and W.chains(x[:0], y) == []
+
+
 def test_near_duplicate_passages(spark):
     texts = made()
     words = [split(t) for t in texts]
