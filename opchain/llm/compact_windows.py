@@ -7,9 +7,12 @@ Cartesian tree of the hashes whose span is long enough; they are found from slid
 nearest smaller values.  Windows with an equal least hash hold passages that share that min-hash.  The
 windows of all texts are sorted by that hash, each is joined with the window of the first text that has it, and where joined windows of two
 texts meet in one stretch under ENOUGH different functions the pair of texts is verified: equal runs, every place of one with every place of the other, are chained in order, and a chain is a
-passage if it has 50 words or more and a similarity of 0.8 or more on five-word runs.  Windows outside
-the passages found are joined again without the first text, OWNERS times in all.  So this search is approximate, as min-hashing itself is: a passage
-whose only partners are neither of the first OWNERS texts that have its least hashes is missed; the tests and the README measure how rarely.
+passage if it has 50 words or more and a similarity of 0.8 or more on five-word runs.  Windows that such a passage joins to the first text are
+in its class.  All other windows are then joined with every text that has their least hash, those in the class too, until no
+pair of texts with ENOUGH joined windows is left untested; only windows that are both in the class of the first text are not joined.
+
+The join needs no ends of windows: only the centres of the tree's nodes are used (`compact_windows` gives the ends too, and a test holds the
+centres' definition against it), and a stretch of SPAN positions stands for the interval condition, so some more pairs are verified.
 
 Words are runs of other characters than [\\x20\\x09-\\x0D].
 
@@ -35,7 +38,6 @@ from opchain.plans.scratch import Scratch
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
 LEAST = WORDS - SHINGLE + 1
 FUNCTIONS, ENOUGH, GAP, SPAN = 5, 2, 24, 128
-OWNERS = 4
 NEED = int(np.ceil(2 * LEAST * SIMILARITY / (1 + SIMILARITY)))  # equal runs that the shortest passage has
 POINTS = 2_000_000  # pairs of equal runs of two texts, up to which every place is held against every other
 
@@ -169,7 +171,7 @@ def _ascending(a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarra
 def chains(a: np.ndarray, b: np.ndarray, words: int = WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
     """(start, stop, start, stop, similarity) in words of the passages that two sequences of five-word runs share, at every place of either.
 
-    A passage that lies within another on both sides is not given again.
+    A passage whose place on either side lies within a longer one given is not given again, as in lists of one repeated line.
     """
     out: list[tuple[int, int, int, int, float]] = []
     for i, j in _ascending(a, b):
@@ -183,7 +185,7 @@ def chains(a: np.ndarray, b: np.ndarray, words: int = WORDS, similarity: float =
             share = m / (n + k - m)
             if share >= similarity:
                 new = (int(i[s]), int(i[e - 1]) + SHINGLE, int(j[s]), int(j[e - 1]) + SHINGLE, float(share))
-                if min(n, k) + SHINGLE - 1 >= words and not any(x[0] <= new[0] and new[1] <= x[1] and x[2] <= new[2] and new[3] <= x[3] for x in out):
+                if min(n, k) + SHINGLE - 1 >= words and not all(any(x[c] <= new[c] and new[c + 1] <= x[c + 1] for x in out) for c in (0, 2)):
                     out.append(new)
                 continue
             step = np.maximum(i[s + 1 : e] - i[s : e - 1], j[s + 1 : e] - j[s : e - 1])
@@ -213,31 +215,49 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(joined, run, "doc long, start int, stop int, owner long, owner_start int, owner_stop int, similarity double")
 
 
-def outside(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows (doc, pos) that lie in none of the passages found, on either side of them."""
-    sides = found.select(F.col("doc").alias("d"), F.col("start").alias("from"), F.col("stop").alias("till")).union(found.select("owner", "owner_start", "owner_stop")).distinct()
-    return rows.join(sides, (F.col("doc") == F.col("d")) & (F.col("pos") >= F.col("from")) & (F.col("pos") + SHINGLE <= F.col("till")), "left_anti")
-
-
-def search(docs: DataFrame, copies: DataFrame, scratch: Scratch, owners: int = OWNERS) -> list[DataFrame]:
-    """Verified passages between different texts, as written tables; copies are documents whose text a lesser doc_id has."""
-    extra = ("fn",)
-    open_, out, tested, texts = scratch.keep(windows(docs), "open"), [], None, None
-    for _ in range(owners):
-        shared = shared_runs(open_, scratch, extra).where("doc <> owner")
-        if texts is None:
-            shared = shared.join(copies.select(F.col("doc_id").alias("doc")), "doc", "left_anti")
-        shared = scratch.keep(shared, "shared")
-        scratch.drop(open_)
-        if texts is None:
-            wanted = shared.select(F.col("doc").alias("id")).union(shared.select("owner")).distinct()
-            texts = scratch.keep(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi"), "texts")
-        pairs = candidates(shared) if tested is None else candidates(shared).join(tested, ["doc", "owner"], "left_anti")
-        pairs = scratch.keep(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        out.append(scratch.keep(verify(pairs, texts), "found"))
-        open_ = scratch.keep(outside(shared, out[-1]).select("key", "doc", "pos", *extra), "left")
-    return out
+def classed(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, fn, doc, pos, led): the rows of shared and whether they lie in a passage that joins them to their owner's row, as the owner's own row does."""
+    sides = found.select(F.col("doc").alias("d"), F.col("owner").alias("o"), "start", "stop", "owner_start", "owner_stop")
+    here = (F.col("pos") >= F.col("start")) & (F.col("pos") + SHINGLE <= F.col("stop"))
+    there = (F.col("owner_pos") >= F.col("owner_start")) & (F.col("owner_pos") + SHINGLE <= F.col("owner_stop"))
+    joined = shared.join(sides, (F.col("doc") == F.col("d")) & (F.col("owner") == F.col("o")) & here & there, "left")
+    first = (F.col("doc") == F.col("owner")) & (F.col("pos") == F.col("owner_pos"))
+    return joined.groupBy("key", "fn", "doc", "pos").agg(F.max(F.col("d").isNotNull() | first).alias("led"), F.max(first).alias("first"))
+
+
+def between(rows: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """(doc, owner) of all pairs of texts with joined windows of `enough` functions in one stretch of doc, from rows (key, fn, doc, pos, led, first).
+
+    Two windows that are both joined to the first text of their key are in one class and are not paired; so that a pair
+    that has such windows beside others is not lost, those of doc count as joined with every owner.
+    """
+    half = SPAN // 2
+    bit = F.expr("shiftleft(1, fn)")
+    at = F.floor(F.col("pos") / half).cast("int")
+    one = rows.groupBy("key", "fn", "doc", at.alias("at")).agg(F.min("led").alias("led"))
+    two = rows.groupBy("key", F.col("doc").alias("owner")).agg(F.min("led").alias("owner_led"))
+    led = rows.where("led and not first").select("doc", bit.alias("bit"), F.explode(F.array(at, at - 1)).alias("s")).groupBy("doc", "s").agg(F.bit_or("bit").alias("bits"))
+    for name, s in (("here", F.col("at")), ("before", F.col("at") - 1)):
+        one = one.withColumn("s", s).join(led.withColumnRenamed("bits", name), ["doc", "s"], "left").drop("s").withColumn(name, F.coalesce(name, F.lit(0)).bitwiseOR(bit))
+    joined = one.join(two, "key").where((F.col("doc") > F.col("owner")) & ~(F.col("led") & F.col("owner_led")))
+    joined = joined.repartition("doc", "owner").groupBy("doc", "owner", "at").agg(*(F.bit_or(x).alias(x) for x in ("here", "before")))  # one shuffle serves both
+    each = joined.select("doc", "owner", F.explode(F.array(F.struct(F.col("at").alias("s"), F.col("here").alias("bits")), F.struct((F.col("at") - 1).alias("s"), F.col("before").alias("bits")))).alias("x"))
+    counted = each.groupBy("doc", "owner", "x.s").agg(F.bit_or("x.bits").alias("bits")).where(F.bit_count("bits") >= enough)
+    return counted.select("doc", "owner").distinct()
+
+
+def search(docs: DataFrame, copies: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Verified passages between different texts, as written tables; copies are documents whose only text a lesser doc_id has."""
+    open_ = scratch.keep(windows(docs), "open")
+    shared = shared_runs(open_, scratch, ("fn",)).join(copies.select(F.col("doc_id").alias("doc")), "doc", "left_anti")
+    shared = scratch.keep(shared, "shared")
+    scratch.drop(open_)
+    wanted = shared.select(F.col("doc").alias("id")).distinct()
+    texts = scratch.keep(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi"), "texts")
+    pairs = scratch.keep(candidates(shared.where("doc <> owner")), "pairs")
+    found = scratch.keep(verify(pairs, texts), "found")
+    more = scratch.keep(between(classed(shared, found)).join(pairs, ["doc", "owner"], "left_anti"), "pairs")
+    return [found, scratch.keep(verify(more, texts), "found")]
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -248,8 +268,9 @@ def find(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "windows")
     marked = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.md5("text"), F.md5(F.lit(""))).alias("text_key"))
     copies = scratch.keep(distinct_texts(marked).where("doc_id <> first"), "copies")
-    with batches_of(docs.sparkSession, 1000):
-        tables = search(docs, copies, scratch)
+    lone = marked.groupBy("doc_id").agg(F.count_distinct("text_key").alias("texts")).where("texts = 1")
+    with batches_of(docs.sparkSession, 250):
+        tables = search(docs, copies.join(lone, "doc_id", "left_semi"), scratch)
     near = tables[0]
     for x in tables[1:]:
         near = near.unionByName(x)

@@ -180,6 +180,26 @@ def test_passages_at_every_place():
     assert W.chains(same, same) == [(0, 3004, 0, 3004, 1.0)] and W.chains(x, y) == [] and W.chains(x[:0], y) == []
 
 
+def test_passages_beyond_the_first_texts(spark):
+    """A stock phrase in earlier texts hides no pair of later ones, and copies of a later original all meet it."""
+    rng = random.Random(8)
+    word = lambda: "w%d" % rng.randrange(10**6)
+    text = lambda n: [word() for _ in range(n)]
+    phrase, tail, base = text(36), text(30), text(120)
+    rows = [text(60) + phrase + text(60) for _ in range(12)] + [text(60) + phrase + tail + text(60) for _ in range(2)]
+    for _ in range(12):
+        w = base[:]
+        shift = rng.randrange(30)
+        for k in range(2):
+            w[6 + shift + 45 * k] = word()
+        rows.append(text(20) + w + text(20))
+    rows.append(text(20) + base + text(20))
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {(r.doc_id, r.match_doc_id) for r in W.find(docs).collect()}
+    assert (13, 12) in got and {x for pair in got for x in pair} == set(range(12, 27))
+    assert {(26, i) for i in range(14, 26)} <= got
+
+
 def test_near_duplicate_passages(spark):
     texts = made()
     words = [split(t) for t in texts]
