@@ -1,7 +1,7 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-Each page becomes a folded DOM tree.  Every page of a host is aligned with the host's first page by
-simple tree matching.  Over all pages of the host it is counted how often each node of that tree was
+Each page becomes a folded DOM tree.  Every page of a host is aligned by simple tree matching with the host's
+reference, the first page of the commonest shape among those with text.  Over all pages of the host it is counted how often each node of that tree was
 found, how often with the same text, and with how many words: nodes with constant text are template,
 nodes whose text varies are slots, and the smallest container that holds most of the slots' words is
 where the host's pages keep their article.  A page's text is what its aligned container holds, without
@@ -110,7 +110,7 @@ def _load(shape: str) -> tuple[tuple[str, ...], tuple[int, ...]]:
 
 
 def align(found: DataFrame, first: DataFrame) -> DataFrame:
-    """(host, node, n, same, words): of each node of a host's first page, in how many pages it was found, with equal text, and its words in all."""
+    """(host, node, n, same, words): of each node of a host's reference, in how many pages it was found, with equal text, and its words in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +131,7 @@ def align(found: DataFrame, first: DataFrame) -> DataFrame:
 
 
 def wrapper(shape: str, counts: list[tuple[int, int, int, int]]) -> str:
-    """A host's wrapper from its first page's shape and the (node, n, same, words) of its nodes: shape, container and template nodes."""
+    """A host's wrapper from its reference's shape and the (node, n, same, words) of its nodes: shape, container and template nodes."""
     labels, parents = _load(shape)
     n, same, words = ([0] * len(labels) for _ in range(3))
     for node, a, b, c in counts:
@@ -159,7 +159,9 @@ def _below(parents: tuple[int, ...], root: int) -> list[bool]:
 def induce(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, wrapper) of every host."""
     found = scratch.keep(trees(pages), "trees")
-    first = found.groupBy("host").agg(F.min(F.struct("page_id", "shape", "hashes")).alias("f")).select("host", F.col("f.shape").alias("ref"), F.col("f.hashes").alias("ref_hashes"))
+    some = found.where(F.aggregate("words", F.lit(0), lambda s, x: s + x) > 0)
+    shapes = some.groupBy("host", "shape").agg(F.count("*").alias("n"), F.min(F.struct("page_id", "hashes")).alias("f"))
+    first = shapes.groupBy("host").agg(F.min(F.struct(-F.col("n"), "f", "shape")).alias("x")).select("host", F.col("x.shape").alias("ref"), F.col("x.f.hashes").alias("ref_hashes"))
     first = scratch.keep(first, "first")
     counted = align(found, first).groupBy("host").agg(F.collect_list(F.struct("node", "n", "same", "words")).alias("counts"))  # as many as a folded tree has nodes
 
@@ -184,7 +186,7 @@ def extract(source: str, host_wrapper: str | None) -> str:
     if host_wrapper:
         ref, at, template = json.loads(host_wrapper)
         pairs = dict(dom.match(_load(ref), shape))
-        root = pairs.get(at, -1)
+        root = pairs.get(at, -1) if at else -1  # #root tells nothing: the page's own words decide
         constant = {pairs[i] for i in template if i in pairs}
     skipped = _labels_skipped(labels, parents)
     words = [len(t.split()) for t in _texts(tree, place, len(labels))]

@@ -235,6 +235,18 @@ def test_page_text(spark):
     assert H.extract_pages(df.limit(0)).count() == 0
 
 
+def test_host_whose_first_page_is_odd(spark):
+    """An empty page, or one of another shape, is no reference for its host's other pages."""
+    one = "<html><body><div><div id=\"top\"><p>menu of all</p></div><div><p>first {0} words of the text that is longer</p><p>more {0} words of it that also count</p></div></div></body></html>"
+    pages = [(h * 100 + i, f"https://h{h}.example/{i}", one.replace("{0}", f"{h}x{i}")) for h in range(2) for i in range(1, 7)]
+    pages += [(0, "https://h0.example/", ""), (100, "https://h1.example/", "<html><body><table><tr><td>not found</td></tr></table></body></html>")]
+    got = {r.page_id: r.text for r in H.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[0] == ""
+    for h in range(2):
+        for i in range(1, 7):
+            assert got[h * 100 + i] == f"first {h}x{i} words of the text that is longer\nmore {h}x{i} words of it that also count"
+
+
 def test_tree_matching():
     shape = lambda h: dom.fold(dom.parse(h))[0]
     a, b = shape("<div><h1>x</h1><p>a</p><p>b</p><ul><li>1</li></ul></div>"), shape("<div><p>a</p><table></table><ul><li>1<li>2</ul></div>")
