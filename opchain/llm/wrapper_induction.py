@@ -2,10 +2,11 @@
 
 Each page becomes a folded DOM tree.  Every page of a host is aligned by simple tree matching with the host's
 reference, the first page of the commonest shape among those with text.  Over all pages of the host it is counted how often each node of that tree was
-found, how often with the same text, and with how many words: nodes with constant text are template,
-nodes whose text varies are slots, and the smallest container that holds most of the slots' words is
-where the host's pages keep their article.  A page's text is what its aligned container holds, without
-template nodes and without parts that are marked as menus, adverts, forms, comments and the like.
+found, how often with the same text, and with how many words: nodes whose text varies are slots, and the smallest container that holds most of the slots' words is
+where the host's pages keep their article.  Template is looked for in the pages' unfolded trees, the reference has no part in it: a node's text is
+template if it stands under the same labels in CONSTANT of the host's pages of different text that have text there, two at least.  A page's text is what its aligned container holds, without
+template and without parts that are marked as menus, adverts, forms, comments and the like.  On hosts of fewer than PAGES pages
+of different text a page whose template would be over half of its words keeps it, as they may be versions of one article.
 
 Nulls, empty and odd input: null or empty html gives empty text; pages without a host are one group; a host with a
 single page, or pages that are all alike, has no template, and its container is found from its words alone; a page that
@@ -17,7 +18,9 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -86,10 +89,17 @@ def _texts(tree: dom.Tree, place: list[int], n: int) -> list[str]:
     return [" ".join("".join(x).split()) for x in own]
 
 
-def trees(pages: DataFrame) -> DataFrame:
-    """(host, page_id, shape, hashes, words) of every page."""
-    import zlib
+def _lines(tree: dom.Tree) -> list[tuple[int, int, int]]:
+    """(node, path, text) of every single node with own text: hashes of the labels down to it, and of its text."""
+    path = [0]
+    for label, up in zip(tree.label[1:], tree.parent[1:], strict=True):
+        path.append(zlib.crc32(label.encode(), path[up]))
+    own = _texts(tree, list(range(len(tree.label))), len(tree.label))
+    return [(i, path[i], zlib.crc32(t.encode())) for i, t in enumerate(own) if t]
+
 
+def trees(pages: DataFrame) -> DataFrame:
+    """(host, page_id, shape, hashes, words, lines) of every page; lines: its distinct pairs of path and text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -97,11 +107,30 @@ def trees(pages: DataFrame) -> DataFrame:
                 tree = dom.parse(source or "")
                 (labels, parents), place = dom.fold(tree)
                 own = _texts(tree, place, len(labels))
-                out.append((_host(url), json.dumps([labels, parents]), [zlib.crc32(t.encode()) for t in own], [len(t.split()) for t in own]))
-            host, shape, hashes, words = zip(*out, strict=True) if out else ([], [], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), batch.column(0), pa.array(shape, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32()))], ["host", "page_id", "shape", "hashes", "words"])
+                out.append((_host(url), json.dumps([labels, parents]), [zlib.crc32(t.encode()) for t in own], [len(t.split()) for t in own], sorted({_key(p, t) for _, p, t in _lines(tree)})))
+            host, shape, hashes, words, lines = zip(*out, strict=True) if out else ([], [], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), batch.column(0), pa.array(shape, pa.string()), pa.array(hashes, pa.list_(pa.int64())), pa.array(words, pa.list_(pa.int32())), pa.array(lines, pa.list_(pa.int64()))], ["host", "page_id", "shape", "hashes", "words", "lines"])
+
+    return map_arrow(pages.select("page_id", "url", "html"), run, "host string, page_id long, shape string, hashes array<long>, words array<int>, lines array<long>")
+
 
-    return map_arrow(pages.select("page_id", "url", "html"), run, "host string, page_id long, shape string, hashes array<long>, words array<int>")
+def _key(path: int, text: int) -> int:
+    """Path and text in one signed number, the path above."""
+    return (path - (1 << 31) << 32) | text
+
+
+def template(found: DataFrame) -> DataFrame:
+    """(host, pages, lines): of every host how many pages of different text it has, and the lines constant among those that have the path.
+
+    Two pages of one text are one page, so copies of an article do not make it template.
+    """
+    pages = found.select("host", "lines", F.xxhash64("lines").alias("page")).dropDuplicates(["host", "page"])
+    paths = F.array_distinct(F.transform("lines", lambda x: F.shiftright(x, 32)))
+    having = pages.select("host", F.explode(paths).alias("path")).groupBy("host", "path").agg(F.count("*").alias("n")).where("n >= 2")
+    lines = pages.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("same")).where("same >= 2")
+    constant = lines.withColumn("path", F.shiftright("line", 32)).join(having, ["host", "path"]).where(F.col("same") >= CONSTANT * F.col("n"))
+    listed = constant.groupBy("host").agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return pages.where(F.size("lines") > 0).groupBy("host").agg(F.count("*").alias("pages")).join(listed, "host", "left")
 
 
 def _load(shape: str) -> tuple[tuple[str, ...], tuple[int, ...]]:
@@ -130,23 +159,17 @@ def align(found: DataFrame, first: DataFrame) -> DataFrame:
     return counted.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same"), F.sum("words").alias("words"))
 
 
-def wrapper(shape: str, counts: list[tuple[int, int, int, int]]) -> str:
-    """A host's wrapper from its reference's shape and the (node, n, same, words) of its nodes: shape, container and template nodes."""
+def wrapper(shape: str, counts: list[tuple[int, int, int, int]], pages: int, lines: list[int]) -> str:
+    """A host's wrapper from its reference's shape, the (node, n, same, words) of its nodes, and its template: shape, container, template and pages."""
     labels, parents = _load(shape)
     n, same, words = ([0] * len(labels) for _ in range(3))
     for node, a, b, c in counts:
         n[node], same[node], words[node] = a, b, c
-    pages = n[0]
-    varies = [w * (1 - s / k if k and pages >= PAGES else 1.0) for w, s, k in zip(words, same, n, strict=True)]
+    varies = [w * (1 - s / k if k and n[0] >= 2 else 1.0) for w, s, k in zip(words, same, n, strict=True)]
     skipped = _labels_skipped(labels, parents)
     alike = not any(v > 0 and not s for v, s in zip(varies, skipped, strict=True))  # nothing varies: the pages are copies
     root = container(labels, parents, [float(w) for w in words] if alike else varies)
-    inside = _below(parents, root)
-    some = sum(words[i] for i in range(len(labels)) if inside[i] and not skipped[i])
-    constant = [i for i in range(len(labels)) if inside[i] and n[i] >= PAGES and words[i] and same[i] >= CONSTANT * n[i]]
-    if alike or 2 * sum(words[i] for i in constant if not skipped[i]) > some:
-        constant = []
-    return json.dumps([shape, root, constant])
+    return json.dumps([shape, root, lines, pages])
 
 
 def _below(parents: tuple[int, ...], root: int) -> list[bool]:
@@ -167,14 +190,20 @@ def induce(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [wrapper(s, [tuple(x.values()) for x in c]) for s, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            made = [wrapper(s, [tuple(x.values()) for x in c], n, t or []) for s, c, n, t in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], ["host", "wrapper"])
 
-    out = scratch.keep(map_arrow(first.join(counted, "host").select("host", "ref", "counts"), run, "host string, wrapper string"), "wrappers")
+    out = scratch.keep(map_arrow(first.join(counted, "host").join(template(found), "host").select("host", "ref", "counts", "pages", "lines"), run, "host string, wrapper string"), "wrappers")
     scratch.drop(found, first)
     return out
 
 
+@lru_cache(maxsize=64)
+def _wrapper(text: str) -> tuple[str, int, frozenset[int], int]:
+    shape, root, lines, pages = json.loads(text)
+    return shape, root, frozenset(lines), pages
+
+
 def extract(source: str, host_wrapper: str | None) -> str:
     """A page's main text: its blocks, one to a line."""
     if not source:
@@ -182,12 +211,12 @@ def extract(source: str, host_wrapper: str | None) -> str:
     tree = dom.parse(source)
     shape, place = dom.fold(tree)
     labels, parents = shape
-    root, constant = -1, set()
+    root, constant, pages = -1, set(), 0
     if host_wrapper:
-        ref, at, template = json.loads(host_wrapper)
+        ref, at, known, pages = _wrapper(host_wrapper)
         pairs = dict(dom.match(_load(ref), shape))
         root = pairs.get(at, -1) if at else -1  # #root tells nothing: the page's own words decide
-        constant = {pairs[i] for i in template if i in pairs}
+        constant = {i for i, p, t in _lines(tree) if _key(p, t) in known} if known else set()
     skipped = _labels_skipped(labels, parents)
     words = [len(t.split()) for t in _texts(tree, place, len(labels))]
     if root >= 0:
@@ -197,14 +226,18 @@ def extract(source: str, host_wrapper: str | None) -> str:
     if root < 0:
         root = container(labels, parents, [float(w) for w in words])
         inside = _below(parents, root)
-    takes = [i and not s and j not in constant for j, (i, s) in enumerate(zip(inside, skipped, strict=True))]
+    takes = [i and not s for i, s in zip(inside, skipped, strict=True)]
+    if pages < PAGES and constant:  # so few pages may share much of their article
+        own = [len(t.split()) if takes[place[i]] else 0 for i, t in enumerate(_texts(tree, list(range(len(place))), len(place)))]
+        if 2 * sum(own[i] for i in constant) > sum(own):
+            constant = set()
     blocks, now = [], []
     for node, t in [*tree.parts, (0, None)]:
         if t is None:
             if now and (block := " ".join("".join(now).split())):
                 blocks.append(block)
             now = []
-        elif takes[place[node]]:
+        elif takes[place[node]] and node not in constant:
             now.append(t)
     return "\n".join(blocks)
 

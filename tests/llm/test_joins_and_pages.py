@@ -247,6 +247,18 @@ def test_host_whose_first_page_is_odd(spark):
             assert got[h * 100 + i] == f"first {h}x{i} words of the text that is longer\nmore {h}x{i} words of it that also count"
 
 
+def test_template_among_siblings(spark):
+    """Constant paragraphs next to varying ones are template, on hosts of two pages, beside short articles, and where the reference lacks them."""
+    note = "<p>please note that this is the same on every page</p>"
+    pages = [(i, f"https://two.example/{i}", f"<article><p>first text {i} that is long enough to be an article of its own</p>{note}</article>") for i in range(2)]
+    pages += [(10 + i, f"https://short.example/{i}", f"<article><p>text {i}</p>{note}{note.replace('this', 'more of it')}</article>") for i in range(5)]
+    pages += [(20 + i, f"https://mixed.example/{i}", f"<article><p>text {i} of these</p>" + (f"<section>{note}</section>" if i > 3 else "") + "</article>") for i in range(7)]
+    got = {r.page_id: r.text for r in H.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(2)] == [f"first text {i} that is long enough to be an article of its own" for i in range(2)]
+    assert [got[10 + i] for i in range(5)] == [f"text {i}" for i in range(5)]
+    assert [got[20 + i] for i in range(7)] == [f"text {i} of these" for i in range(7)]
+
+
 def test_tree_matching():
     shape = lambda h: dom.fold(dom.parse(h))[0]
     a, b = shape("<div><h1>x</h1><p>a</p><p>b</p><ul><li>1</li></ul></div>"), shape("<div><p>a</p><table></table><ul><li>1<li>2</ul></div>")
