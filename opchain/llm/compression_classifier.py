@@ -13,6 +13,7 @@ good labels (0.5 without any).  Extra columns are ignored; repeated rows are sco
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,6 +72,22 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
         return b""
 
 
+def _blocks(texts: DataFrame, most: int) -> DataFrame:
+    """(doc_id, n, block) of at most `most` blocks of each text, those first by a hash of doc_id and their number n."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for d, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = x.as_buffer().to_pybytes() if x.is_valid else b""
+                first = sorted(range(-(-len(raw) // BLOCK)), key=lambda k: (zlib.crc32(b"%d:%d" % (d, k)), k))[:most]
+                out += [(d, k, raw[k * BLOCK : (k + 1) * BLOCK]) for k in first]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "n", "block"])
+
+    return map_arrow(texts, run, "doc_id long, n int, block binary")
+
+
 def logistic(z: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
     """Slope and shift of a lightly regularised logistic fit, by Newton's method on the scaled difference."""
     scale = float(np.std(z)) or 1.0
@@ -89,8 +106,8 @@ def logistic(z: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, floa
 def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, per_class: int = 4000, chars: int = 16384, dictionary: int = 65536) -> Model:
     """Fits on at most `per_class` labelled texts of each class: those first by a hash of doc_id.
 
-    Of each at most `chars` characters are taken to the driver.  Half of them make the dictionaries,
-    the other half the curve.  usable: a condition on doc_id that a label must meet.
+    Half of them make the dictionaries, from at most `chars` bytes of each, in blocks taken by a hash from the whole text;
+    the other half, read whole by score(), the curve.  usable: a condition on doc_id that a label must meet.
     """
     marked = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marked = marked if usable is None else marked.where(usable)
@@ -103,19 +120,25 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, per_cl
         return flat
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r.doc_id, r.quality, r["at"]) for r in sample], "doc_id long, quality int, at long")
-    rows = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, chars).alias("text")).join(F.broadcast(chosen), "doc_id")
-    texts = sorted({(r["at"], r.doc_id, r.quality, r.text) for r in rows.toLocalIterator()})
-    half = {q: [t for i, t in enumerate([x for x in texts if x[2] == q]) if i % 2 == 0] for q in (0, 1)}
-    rest = [t for q in (0, 1) for i, t in enumerate([x for x in texts if x[2] == q]) if i % 2]
-    model = Model(*(_dictionary([t[3].encode() for t in half[q]], dictionary) for q in (1, 0)), 0.0, 0.0)
-    if not model.good or not model.bad or len({t[2] for t in rest}) < 2:
+    there = sorted((r["at"], r.doc_id, r.quality) for r in docs.select("doc_id").join(F.broadcast(chosen), "doc_id").distinct().collect())
+    half, rest = ([x for q in (0, 1) for i, x in enumerate([x for x in there if x[2] == q]) if i % 2 == k] for k in (0, 1))
+    if len({x[2] for x in half}) < 2 or len({x[2] for x in rest}) < 2:
+        return flat
+
+    def texts(of: list[tuple[int, int, int]]) -> DataFrame:
+        return docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame([(x[1],) for x in of], "doc_id long")), "doc_id")
+
+    found = sorted({(r.doc_id, r.n, bytes(r.block)) for r in _blocks(texts(half), max(chars // BLOCK, 1)).toLocalIterator()})
+    quality = {x[1]: x[2] for x in there}
+    model = Model(*(_dictionary([block for d, _, block in found if quality[d] == q], dictionary) for q in (1, 0)), 0.0, 0.0)
+    if not model.good or not model.bad:
         return flat
-    pair = model.compressors()
-    z = np.array([difference(t[3].encode(), *pair) for t in rest])
+    scored = sorted({(r.doc_id, r.difference) for r in score(texts(rest), model).select("doc_id", "difference").toLocalIterator()})
+    z, y = np.array([x[1] for x in scored]), np.array([quality[x[0]] for x in scored], float)
     # the sample is balanced: weigh the shift back to the share that all usable labels have
-    slope, shift = logistic(z, np.array([t[2] for t in rest], float))
+    slope, shift = logistic(z, y)
     counts = {r.quality: r["count"] for r in marked.groupBy("quality").count().collect()}
-    inside = sum(t[2] for t in rest) / len(rest)
+    inside = float(y.mean())
     prior = counts[1] / (counts[0] + counts[1])
     return Model(model.good, model.bad, slope, shift + float(np.log(prior / (1 - prior)) - np.log(inside / (1 - inside))))
 

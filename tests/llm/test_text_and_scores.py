@@ -113,3 +113,15 @@ def test_classifier_with_odd_input(spark, empty):
     if empty:
         assert all(r.score == pytest.approx(0.5) for r in rows)
     assert C.score(docs.limit(0), model).count() == 0
+
+
+def test_fit_reads_whole_texts(spark):
+    """Texts whose first 16,384 characters are alike and whose class stands in what follows."""
+    rng = random.Random(12)
+    words = {q: ["".join(rng.choice(c) for _ in range(7)) for _ in range(150)] for q, c in ((0, "abcdefg"), (1, "qrstuvw"), (2, "hijklmn"))}
+    text = lambda q, n: " ".join(rng.choice(words[q]) for _ in range(n))
+    docs = spark.createDataFrame([(i, text(2, 2100) + " " + text(i % 2, 2100)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    new = spark.createDataFrame([(i, text(i % 2, 400)) for i in range(20)], "doc_id long, text string")
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in C.score(new, C.fit(docs, labels)).collect())
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in C.score(docs, C.fit(docs, labels)).collect())
