@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as St
 
 _sent: set[str] = set()
+_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
 
 
 def send_package(spark: SparkSession) -> None:
@@ -33,18 +36,15 @@ def send_package(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | St.StructType) -> DataFrame:
-    """df.mapInArrow(fn, schema)."""
+    """df.mapInArrow(fn, schema), in batches of BATCH_BYTES unless the session asks for less: each task holds some batches on both sides."""
     send_package(df.sparkSession)
+    conf = df.sparkSession.conf
+    if _bytes(conf.get(_LIMIT)) > BATCH_BYTES or _bytes(conf.get(_LIMIT)) <= 0:
+        conf.set(_LIMIT, f"{BATCH_BYTES}b")
     return df.mapInArrow(fn, schema)
 
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """While it lasts, Arrow batches hold `rows` rows at most: rows with whole texts need memory on both sides for each batch."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def _bytes(text: str) -> int:
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    number, unit = re.fullmatch(r"(-?\d+)([bkmg]?)b?", text.strip().lower()).groups()
+    return int(number) * units[unit or "b"]
