@@ -7,11 +7,14 @@ documents with an equal band are candidates.  A pair is verified by alignment: e
 the diagonal band outside of which no match of the wanted similarity can lie are chained in order, and similarity is the
 number of chained labels over that of all labels of both texts, the chained ones counted once.
 
-In a bucket of candidates each document first meets leaders: the least
-document; those not in the class of a leader then meet new leaders of their own, four times as many each time, until every document of the bucket is in the
-class of one of its leaders.  A document that has left a bucket in this way has not met those that stayed, so at the end all pairs of different
-classes in a bucket that were not aligned before are compared, in blocks of BLOCK by BLOCK documents.  Pairs of one class are never compared: they change nothing.  A pair is aligned if AGREE of its sketch entries are equal (in their last byte): at the wanted similarity
-64 in 100 are expected, and 4 pairs in 10,000 fall below.  Classes are the connected components of the verified pairs.
+Which pairs of a bucket are compared rests on a bound.  Over all documents that share a bucket it is counted how many of a document's
+labels another one has too: no two documents have more labels in common than the lesser of these counts, so most pairs
+that share a line or a passage, or that are each an edit away from a third text, are out without being compared.
+In each bucket the document of which the largest share is held by others leads, and all others are compared with it; then those in another
+class with more leaders, the best of each part of the bucket; at the end all pairs of different classes that no bound excludes and that were not
+compared before are compared, in blocks of BLOCK by BLOCK documents.  Pairs of one class are never compared: they change nothing.  A pair is
+aligned if AGREE of its sketch entries are equal (in their last byte): at the wanted similarity 64 in 100 are expected, and 4 pairs in 10,000 fall below.
+Classes are the connected components of the verified pairs.
 
 Words are runs of ASCII letters and digits and of non-ASCII characters, A-Z in lower case.  Texts of fewer than five words have
 one label, all their words; texts without words are near to nothing but equal texts.
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opchain.llm import text as T
-from opchain.llm.passages import distinct_texts
+from opchain.llm.passages import distinct_texts, shared_runs
 from opchain.operators.components import connected_components
 from opchain.plans.arrow import map_arrow
 from opchain.plans.scratch import Scratch
@@ -41,6 +44,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 3
 AGREE = 32  # of BANDS * ROWS entries
 BLOCK = 500  # documents of a bucket on either side of one join key
+LEADERS = (1, 16)  # of a bucket in each round, before all pairs that are left
 
 
 def labels(w: T.Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +84,7 @@ def sketch(label: np.ndarray, first: np.ndarray, bands: int = BANDS, rows: int =
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, bands, entries) of every row."""
+    """(doc_id, text_key, n, bands, entries) of every row; n: its labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,10 +92,24 @@ def sketches(docs: DataFrame) -> DataFrame:
                 label, first = labels(w)
                 found, last = sketch(label, first)
                 some = (np.diff(first) > 0).astype(np.int64)
-                arrays = [batch.column(0).slice(a, b - a), T.keys(batch.column(1).slice(a, b - a)), T.lists(T.signed(found.ravel()), some * BANDS, pa.int64()), T.lists(last.ravel(), some * BANDS * ROWS, pa.int8())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "bands", "entries"])
+                arrays = [batch.column(0).slice(a, b - a), T.keys(batch.column(1).slice(a, b - a)), pa.array(np.diff(first), pa.int64()), T.lists(T.signed(found.ravel()), some * BANDS, pa.int64()), T.lists(last.ravel(), some * BANDS * ROWS, pa.int8())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "text_key", "n", "bands", "entries"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, text_key binary, bands array<long>, entries array<tinyint>")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, text_key binary, n long, bands array<long>, entries array<tinyint>")
+
+
+def label_rows(texts: DataFrame) -> DataFrame:
+    """(key, doc, pos) of every label of texts (doc, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(0).to_numpy()
+            for a, b, w in T.words(batch.column(1), T.NON_ALNUM, lower=True):
+                label, first = labels(w)
+                row = np.repeat(np.arange(b - a), np.diff(first))
+                yield pa.RecordBatch.from_arrays([pa.array(T.signed(label)), pa.array(docs[a + row]), pa.array((np.arange(len(label)) - first[row]).astype(np.int32))], ["key", "doc", "pos"])
+
+    return map_arrow(texts.select("doc", "text"), run, "key long, doc long, pos int")
 
 
 def chained(i: np.ndarray, j: np.ndarray) -> int:
@@ -160,27 +178,58 @@ def _tasks(df: DataFrame, rows: int, each: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // each)))
 
 
-def _between(rows: DataFrame) -> DataFrame:
-    """(a, b) of rows (band, doc, cls, entries): the pairs of a band whose classes differ and whose sketches agree.  A large band is dealt in blocks."""
+def _bounded(a: str, b: str, similarity: float = SIMILARITY) -> Column:
+    """Whether columns n_a, s_a and n_b, s_b leave room for the similarity: at most the lesser of s_a and s_b labels are common.  A count below 0 bounds nothing."""
+    common = F.least("s_" + a, "s_" + b)
+    return (common < 0) | (common >= F.lit(similarity - 1e-9) * (F.col("n_" + a) + F.col("n_" + b) - common))
+
+
+def _agree(a: str = "a", b: str = "b") -> Column:
+    """Whether AGREE sketch entries are equal; true without a sketch."""
+    equal = F.aggregate(F.zip_with("entries_" + a, "entries_" + b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    return F.coalesce(equal >= AGREE, F.lit(True))
+
+
+def _side(rows: DataFrame, name: str, *columns: Column) -> DataFrame:
+    """Columns of rows (band, doc, cls, n, s, ...) under the name of one side of a pair."""
+    return rows.select("band", *columns, F.col("doc").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in rows.columns if c in ("cls", "n", "s", "all", "entries")))
+
+
+def _led(rows: DataFrame, leaders: int) -> DataFrame:
+    """(a, b) of rows (band, doc, cls, n, s): each document of a bucket with the bucket's leaders of other classes, one for each of so many parts of it."""
+    order = F.struct((F.col("s") / F.col("n")).alias("share"), (-F.col("doc")).alias("doc"))
+    heads = rows.groupBy("band", F.pmod(F.xxhash64("doc"), F.lit(leaders)).alias("part")).agg(F.max_by(F.struct("doc", "cls", "n", "s"), order).alias("x")).select("band", "x.*")
+    near = _side(rows, "a").join(_side(heads, "b"), "band").where((F.col("cls_a") != F.col("cls_b")) & _bounded("a", "b"))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _between(rows: DataFrame, sketched: DataFrame) -> DataFrame:
+    """(a, b) of rows (band, doc, cls, n, s): the agreeing pairs of a bucket whose classes differ, in the first bucket that both are in.
+
+    A large bucket is dealt in blocks.  sketched: (doc, all, entries), all bands and the sketch of a document.
+    """
     mixed = rows.groupBy("band").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("lo < hi")
-    dealt = rows.join(mixed.select("band", "blocks"), "band").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    dealt = rows.join(mixed.select("band", "blocks"), "band").join(sketched, "doc", "left").withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    one = dealt.select("band", F.col("mine").alias("i"), other.alias("j"), F.col("doc").alias("a"), F.col("cls").alias("cls_a"), F.col("entries").alias("entries_a"))
-    two = dealt.select("band", other.alias("i"), F.col("mine").alias("j"), F.col("doc").alias("b"), F.col("cls").alias("cls_b"), F.col("entries").alias("entries_b"))
-    near = one.join(two, ["band", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("cls_a") != F.col("cls_b")) & (_equal("entries_a", "entries_b") >= AGREE))
+    one = _side(dealt, "a", F.col("mine").alias("i"), other.alias("j"))
+    two = _side(dealt, "b", other.alias("i"), F.col("mine").alias("j"))
+    first = F.coalesce(F.array_min(F.filter(F.zip_with("all_a", "all_b", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())) == F.col("band"), F.lit(True))
+    near = one.join(two, ["band", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("cls_a") != F.col("cls_b")) & _bounded("a", "b") & first & _agree())
     return near.select("a", "b").distinct()
 
 
-def _equal(one: str, two: str) -> Column:
-    """Number of equal sketch entries."""
-    return F.aggregate(F.zip_with(one, two, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+def _agreeing(pairs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which AGREE sketch entries are equal, and those without a sketch."""
+    one, two = (sketched.select(F.col("doc").alias(x), F.col("entries").alias("entries_" + x)) for x in ("a", "b"))
+    return pairs.join(one, "a", "left").join(two, "b", "left").where(_agree()).select("a", "b")
 
 
 def near_classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(doc_id, first, class_id) of every document, and (doc_id, n) of those on several rows."""
     rows = scratch.keep(sketches(docs).where("doc_id is not null"), "sketches")
     members = scratch.keep(distinct_texts(rows.select("doc_id", "text_key")), "members")
-    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    again = scratch.keep(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("text_key").alias("texts")).where("n > 1"), "repeated")
+    repeated, several = again.select("doc_id", "n"), again.where("texts > 1").select(F.col("doc_id").alias("doc"), "texts")
     single = members.where("doc_id = first").select(F.col("doc_id").alias("doc"))
     banded = rows.select(F.col("doc_id").alias("doc"), F.explode("bands").alias("band")).join(single, "doc", "left_semi").distinct()
     banded = scratch.keep(banded, "bands")
@@ -188,38 +237,31 @@ def near_classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     open_ = scratch.keep(banded.join(shared, "band").select("band", "doc"), "open")
     scratch.drop(banded)
     wanted = open_.select("doc").distinct()
-    texts = scratch.keep(docs.select(F.col("doc_id").alias("doc"), "text").join(wanted.hint("merge"), "doc", "left_semi"), "texts")
-    entries = scratch.keep(rows.select(F.col("doc_id").alias("doc"), "entries").join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "entries")
-    every, links, tested, found = open_, None, None, None
-    leaders = 1
-    while n := open_.count():
-        heads = open_.groupBy("band", F.pmod(F.xxhash64("doc"), F.lit(leaders)).alias("s")).agg(F.min("doc").alias("lead")).select("band", "lead")
-        heads = scratch.keep(_tasks(_classes(heads, found, "lead").withColumnRenamed("cls", "lead_cls"), n, 100_000), "heads")
-        led = heads.join(entries.withColumnsRenamed({"doc": "lead", "entries": "lead_entries"}), "lead")
-        own = _classes(open_, found, "doc").join(entries, "doc")
-        near = own.join(led, "band").where((F.col("doc") != F.col("lead")) & (F.col("cls") != F.col("lead_cls")) & (_equal("entries", "lead_entries") >= AGREE))
-        pairs = near.select(F.least("doc", "lead").alias("a"), F.greatest("doc", "lead").alias("b")).distinct()
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted.hint("merge"), "doc", "left_semi")
+    texts = scratch.keep(texts if repeated.isEmpty() else texts.distinct(), "texts")
+    entries = scratch.keep(rows.select(F.col("doc_id").alias("doc"), "n", F.col("bands").alias("all"), "entries").join(wanted, "doc", "left_semi"), "entries")
+    scratch.drop(rows)
+    labelled = scratch.keep(label_rows(texts), "labels")
+    held = scratch.keep(shared_runs(labelled, scratch).groupBy("doc").agg(F.count("*").alias("s")), "held")
+    scratch.drop(labelled)
+    sizes = entries.groupBy("doc").agg(F.max("n").alias("n")).join(held, "doc", "left").withColumn("s", F.coalesce("s", F.lit(0)))
+    if not several.isEmpty():  # documents of several texts have no bound and no sketch
+        sizes = sizes.join(several, "doc", "left").withColumn("s", F.when(F.col("texts") > 1, -1).otherwise(F.col("s"))).drop("texts")
+    alive = sizes.where(f"s < 0 or s >= {SIMILARITY - 1e-9} * n")
+    open_ = scratch.keep(open_.join(alive, "doc").select("band", "doc", "n", "s"), "alive")
+    entries = scratch.keep(entries.select("doc", "all", "entries").join(alive.where("s >= 0").select("doc"), "doc", "left_semi").distinct(), "entries")
+    links, tested, found = None, None, None
+    for leaders in (*LEADERS, None):
+        now = _classes(open_, found, "doc").select("band", "doc", "cls", "n", "s")
+        pairs = _led(now, leaders) if leaders else _between(now, entries)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(_tasks(pairs, n, 20_000), "pairs")
-        asked = pairs.count()
+        pairs = scratch.keep(_agreeing(pairs, entries) if leaders else pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        good = scratch.keep(_tasks(verify(pairs, texts).distinct(), asked, 1_000), "links")
+        good = scratch.keep(_tasks(verify(pairs, texts).distinct(), pairs.count(), 500), "links")
         if not good.isEmpty():
             links = good if links is None else links.unionByName(good)
             found = connected_components(links, scratch)
-        done = _classes(heads, found, "lead").select("band", "cls").distinct()
-        left = scratch.keep(_tasks(_classes(open_, found, "doc").join(done, ["band", "cls"], "left_anti").select("band", "doc"), n, 100_000), "left")
-        alone = left.groupBy("band").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("band")
-        open_ = scratch.keep(_tasks(left.join(alone, "band").select("band", "doc"), n, 100_000), "open")
-        leaders *= 4
-    if tested is not None:  # there are buckets
-        pairs = _between(_classes(every, found, "doc").join(entries, "doc")).join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, "between")
-        if asked := pairs.count():
-            good = scratch.keep(_tasks(verify(pairs, texts).distinct(), asked, 1_000), "links")
-            if not good.isEmpty():
-                found = connected_components(good if links is None else links.unionByName(good), scratch)
     out = _classes(members, found, "first").select("doc_id", "first", F.col("cls").alias("class_id"))
     return out, repeated
 
