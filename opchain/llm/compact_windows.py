@@ -4,15 +4,17 @@ A text is the sequence of its five-word runs, and a passage is a subsequence of
 Under one hash function, all passages whose least hash stands at position c form a compact window: they begin
 between its left end and c and end between c and its right end.  The windows are the nodes of the
 Cartesian tree of the hashes whose span is long enough; they are found from sliding minima and a search for the
-nearest smaller values.  Windows with an equal least hash hold passages that share that min-hash.  The
-windows of all texts are sorted by that hash, each is joined with the window of the first text that has it, and where joined windows of two
-texts meet in one stretch under ENOUGH different functions the pair of texts is verified: equal runs, every place of one with every place of the other, are chained in order, and a chain is a
-passage if it has 50 words or more and a similarity of 0.8 or more on five-word runs.  Windows that such a passage joins to the first text are
-in its class.  All other windows are then joined with every text that has their least hash, those in the class too, until no
-pair of texts with ENOUGH joined windows is left untested; only windows that are both in the class of the first text are not joined.
-
-The join needs no ends of windows: only the centres of the tree's nodes are used (`compact_windows` gives the ends too, and a test holds the
-centres' definition against it), and a stretch of SPAN positions stands for the interval condition, so some more pairs are verified.
+nearest smaller values, and their ends are kept up to REACH positions from c.  Windows with an equal least hash hold passages that share that min-hash.
+
+Only windows in which a passage can lie are joined.  Where windows of ENOUGH functions are shared with any other text, it is looked up which
+five-word runs another text has too: of a passage's runs, from the first to the last that the other text has, SHARE or more are found elsewhere.  Windows
+that lie in no such stretch of LEAST runs, like those around a phrase that many texts share, go.  All windows of one
+hash are joined with the one whose surroundings have the most shared runs, and a pair of texts is verified if joined windows of
+ENOUGH functions hold one common passage of LEAST runs on either side (the interval join).  Verification chains equal runs, at every place of either text, in order; a chain is a
+passage if it has 50 words or more and a similarity of 0.8 or more on five-word runs.  Windows that such a passage joins to the first one of their hash are
+in its class.  The texts of those left are verified with that first one's too if they have a single window in common, then with the first of those left; at the end,
+with every text that has a run near such a window which none of the texts tested with it has: without one, whatever two texts share
+the tested one shares as well, and both are in its class.
 
 Words are runs of other characters than [\\x20\\x09-\\x0D].
 
@@ -32,14 +34,15 @@ from pyspark.sql import functions as F
 
 from opchain.llm import text as T
 from opchain.llm.passages import distinct_texts, shared_runs
-from opchain.plans.arrow import batches_of, map_arrow
+from opchain.plans.arrow import map_arrow
 from opchain.plans.scratch import Scratch
 
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
 LEAST = WORDS - SHINGLE + 1
-FUNCTIONS, ENOUGH, GAP, SPAN = 5, 2, 24, 128
+FUNCTIONS, ENOUGH, GAP, REACH = 5, 2, 24, 120
+SHARE = 2 * SIMILARITY / (1 + SIMILARITY)  # of a passage's runs that the other one has, if both are of one length
 NEED = int(np.ceil(2 * LEAST * SIMILARITY / (1 + SIMILARITY)))  # equal runs that the shortest passage has
-POINTS = 2_000_000  # pairs of equal runs of two texts, up to which every place is held against every other
+FEW = 64  # pairs of places of one run in two texts, up to which all are held against each other
 
 
 def compact_windows(value: np.ndarray, whole: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,11 +69,7 @@ def compact_windows(value: np.ndarray, whole: np.ndarray, least: int) -> tuple[n
 
 
 def windows(docs: DataFrame, functions: int = FUNCTIONS, least: int = LEAST) -> DataFrame:
-    """(key, doc, pos, fn) of all compact windows: least hash, where it stands, counted in five-word runs of the row's text, and the function.
-
-    A node of the Cartesian tree spans `least` positions or more if and only if it is least in some run of `least`, and the join needs no
-    ends: every passage of a window holds its centre, so the centres of the windows of one shared passage lie within it.
-    """
+    """(key, doc, pos, fn, lo, hi) of all compact windows: least hash, where it stands, counted in five-word runs of the row's text, the function, and how far the ends are from pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = T.mix(np.arange(1, functions + 1, dtype=T.U) * T.U(0xA24BAED4963EE407))
@@ -84,24 +83,105 @@ def windows(docs: DataFrame, functions: int = FUNCTIONS, least: int = LEAST) ->
                 whole = np.arange(n) + least + SHINGLE - 1 <= w.stop
                 for fn in range(functions):
                     v = np.where(valid, T.mix(value ^ seeds[fn]) | T.U(1), T.U(0))
-                    c = T.minimisers(v, whole, least)  # the centres that compact_windows gives
+                    c, left, right = compact_windows(v, whole, least)
                     at = (c - w.first[w.row[c]]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(T.signed(T.mix(v[c] + T.U(fn)))), pa.array(docs_[a + w.row[c]]), pa.array(at), pa.array(np.full(len(c), fn, np.int8))], ["key", "doc", "pos", "fn"])
+                    lo, hi = (np.minimum(x, REACH).astype(np.int8) for x in (c - left, right - c))
+                    yield pa.RecordBatch.from_arrays([pa.array(T.signed(T.mix(v[c] + T.U(fn)))), pa.array(docs_[a + w.row[c]]), pa.array(at), pa.array(np.full(len(c), fn, np.int8)), pa.array(lo), pa.array(hi)], ["key", "doc", "pos", "fn", "lo", "hi"])
 
-    known = docs.select("doc_id", "text").where("doc_id is not null")
-    return map_arrow(known, run, "key long, doc long, pos int, fn tinyint")
+    return map_arrow(docs.select("doc_id", "text"), run, "key long, doc long, pos int, fn tinyint, lo tinyint, hi tinyint")
 
 
-def candidates(shared: DataFrame, enough: int = ENOUGH) -> DataFrame:
-    """(doc, owner) with joined windows of `enough` different functions whose centres lie in one stretch of SPAN positions.
+def _flat(lists: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row of every struct of a list column, and the structs' fields as arrays."""
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    inner = lists.flatten()
+    return row, [inner.field(i).to_numpy(zero_copy_only=False) for i in range(inner.type.num_fields)] if pa.types.is_struct(inner.type) else [inner.to_numpy(zero_copy_only=False)]
+
+
+def surroundings(texts: DataFrame, enough: int = ENOUGH) -> DataFrame:
+    """(key, doc, pos) of the five-word runs of texts (doc, text, wins) that lie in windows of `enough` functions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(0).to_numpy()
+            for a, b, w in T.words(batch.column(1)):
+                row, (pos, fn, lo, hi) = _flat(batch.column(2).slice(a, b - a))
+                if not len(w.hash):
+                    continue
+                value, valid = w.grams(SHINGLE)
+                depth = np.zeros(len(value), np.int8)
+                at, end = w.first[row] + pos, w.first[row + 1]
+                for f in np.unique(fn):
+                    edge, x = np.zeros(len(value) + 1, np.int64), fn == f
+                    np.add.at(edge, np.maximum(at[x] - lo[x], w.first[row[x]]), 1)
+                    np.add.at(edge, np.minimum(at[x] + hi[x] + 1, end[x]), -1)
+                    depth += np.cumsum(edge)[:-1] > 0
+                take = np.flatnonzero(valid & (depth >= enough))
+                yield pa.RecordBatch.from_arrays([pa.array(T.signed(value[take])), pa.array(docs[a + w.row[take]]), pa.array((take - w.first[w.row[take]]).astype(np.int32))], ["key", "doc", "pos"])
+
+    return map_arrow(texts.select("doc", "text", "wins"), run, "key long, doc long, pos int")
+
+
+def covered(spots: np.ndarray, at: np.ndarray, least: int = LEAST, share: float = SHARE) -> np.ndarray:
+    """Whether each place lies in a stretch from one of the ascending spots to another, `least` long or longer, of which the spots fill `share` or more."""
+    if len(spots) < 2:
+        return np.zeros(len(at), bool)
+    excess = np.arange(len(spots)) - share * spots  # from spot i to spot j they fill enough if excess[j] + 1 >= excess[i] + share
+    best = np.maximum.accumulate(excess[::-1])  # of the spots from each one on, backwards
+    last = len(spots) - 1 - np.searchsorted(best, excess + share - 1 - 1e-6)  # the last spot up to which enough are filled
+    last = np.maximum(last, np.arange(len(spots)))
+    end = np.maximum.accumulate(np.where(spots[last] - spots + 1 >= least, spots[last], -1))
+    before = np.searchsorted(spots, at, "right") - 1
+    return (before >= 0) & (end[np.maximum(before, 0)] >= at)
+
+
+def supported(rows: DataFrame) -> DataFrame:
+    """The windows of rows (doc, wins, spots) in which a passage can lie, and as `held` how many shared runs surround each, in eighths; spots: where a text's shared runs stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs = batch.column(0).to_numpy()
+            row, (key, pos, fn, lo, hi) = _flat(batch.column(1))
+            _, (spot,) = _flat(batch.column(2))
+            edge = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy(zero_copy_only=False))])
+            of = np.searchsorted(row, np.arange(len(batch) + 1))
+            fits, held = np.zeros(len(row), bool), np.zeros(len(row), np.int32)
+            for r in range(len(batch)):
+                mine, spots = slice(of[r], of[r + 1]), np.unique(spot[edge[r] : edge[r + 1]])
+                fits[mine] = covered(spots, pos[mine])
+                held[mine] = (np.searchsorted(spots, pos[mine] + LEAST, "right") - np.searchsorted(spots, pos[mine] - LEAST)) // 8
+            take = np.flatnonzero(fits)
+            yield pa.RecordBatch.from_arrays([pa.array(x[take]) for x in (key, docs[row], pos, fn, lo, hi, held)], ["key", "doc", "pos", "fn", "lo", "hi", "held"])
+
+    return map_arrow(rows.select("doc", "wins", "spots"), run, "key long, doc long, pos int, fn tinyint, lo tinyint, hi tinyint, held int")
 
-    An interval join by buckets: stretches overlap by half, so centres that are half a stretch apart at most always meet in one.
-    Counted as bits, before the shuffle.
-    """
-    at = F.floor(F.col("pos") / (SPAN // 2)).cast("int")
-    each = shared.select("doc", "owner", F.expr("shiftleft(1, fn)").alias("bit"), F.explode(F.array(at, at - 1)).alias("s"))
-    seen = each.groupBy("doc", "owner", "s").agg(F.bit_or("bit").alias("bits")).where(F.bit_count("bits") >= enough)
-    return seen.select("doc", "owner").distinct()
+
+def meet(joined: DataFrame) -> DataFrame:
+    """(doc, owner) of joined windows (doc, owner, fn, pos, lo, hi, pos_o, lo_o, hi_o) of which two of different functions hold one passage of LEAST runs on both sides."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, (fn, *sides) = _flat(batch.column(2))
+            order = np.lexsort((sides[0], row))
+            row, fn, sides = row[order], fn[order], [x[order].astype(np.int64) for x in sides]
+            found, k = np.zeros(len(batch), bool), 1
+            while len(row) > k:
+                same = (row[:-k] == row[k:]) & ~found[row[:-k]]
+                near = same & (sides[0][k:] - sides[0][:-k] <= 2 * REACH)
+                if not near.any():
+                    break
+                ok = near & (fn[:-k] != fn[k:])
+                for pos, lo, hi in (sides[:3], sides[3:]):
+                    l, r = pos - lo, pos + hi
+                    l, r = np.maximum(l[:-k], l[k:]), np.minimum(r[:-k], r[k:])
+                    ok &= (l <= np.minimum(pos[:-k], pos[k:])) & (np.maximum(pos[:-k], pos[k:]) <= r) & (r - l >= LEAST - 1)
+                found[row[:-k][ok]] = True
+                k += 1
+            yield batch.select([0, 1]).filter(pa.array(found))
+
+    struct = F.struct("fn", "pos", "lo", "hi", "pos_o", "lo_o", "hi_o")
+    grouped = joined.groupBy("doc", "owner").agg(F.collect_list(struct).alias("wins"))  # as many as two texts have windows
+    return map_arrow(grouped.select("doc", "owner", "wins"), run, "doc long, owner long")
 
 
 def grams_of(column: pa.Array) -> list[np.ndarray]:
@@ -115,22 +195,32 @@ def grams_of(column: pa.Array) -> list[np.ndarray]:
 
 
 def _diagonals(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, length) of the longest stretches in which a[i:] and b[j:] are equal, every place with every other, by i and j."""
-    order = np.argsort(b, kind="stable")
-    low = np.searchsorted(b[order], a, "left")
-    n = np.searchsorted(b[order], a, "right") - low
-    if n.sum() > POINTS:  # texts of one repeated line or word: the k-th place of a run with the k-th
-        a, b = (T.mix(x + T.mix(T.occurrences(np.zeros(len(x), np.int64), x).astype(T.U))) for x in (a, b))
-        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    else:
-        i = np.repeat(np.arange(len(a)), n)
-        j = order[np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(i))]
-    by = np.lexsort((i, j - i))
-    i, j = i[by], j[by]
-    new = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)])) if len(i) else np.zeros(0, np.int64)
-    size = np.diff(np.append(new, len(i)))
-    by = np.lexsort((j[new], i[new]))
-    return i[new][by], j[new][by], size[by]
+    """(i, j, length) of the longest stretches in which a[i:] and b[j:] are equal, by i and j.
+
+    Every place of a run with every place of the other text's; of a run with over FEW such pairs the places of the text that has fewer are laid
+    along the other's again and again, which meets every place of either and, as the stretches are extended, the same repeated lines at each.
+    """
+    (ka, na), (kb, nb) = (np.unique(x, return_counts=True) for x in (a, b))
+    _, xa, xb = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    begin_a, begin_b = (np.cumsum(n) - n for n in (na, nb))
+    na, nb, begin_a, begin_b = na[xa], nb[xb], begin_a[xa], begin_b[xb]
+    few = na * nb <= FEW
+    size = np.where(few, na * nb, np.maximum(na, nb))
+    which = np.repeat(np.arange(len(size)), size)
+    k = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+    i = np.argsort(a, kind="stable")[begin_a[which] + np.where(few[which], k // nb[which], k % na[which])]
+    j = np.argsort(b, kind="stable")[begin_b[which] + k % nb[which]]
+    stretches = []
+    for d in np.unique(j - i).tolist():
+        low, high = max(0, -d), min(len(a), len(b) - d)
+        edge = np.diff(np.concatenate([[0], a[low:high] == b[low + d : high + d], [0]]).astype(np.int8))
+        start = np.flatnonzero(edge == 1)
+        stretches.append((start + low, start + low + d, np.flatnonzero(edge == -1) - start))
+    if not stretches:
+        return (np.zeros(0, np.int64),) * 3
+    i, j, size = (np.concatenate(x) for x in zip(*stretches, strict=True))
+    by = np.lexsort((j, i))
+    return i[by], j[by], size[by]
 
 
 def _ascending(a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -195,7 +285,7 @@ def chains(a: np.ndarray, b: np.ndarray, words: int = WORDS, similarity: float =
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(doc, start, stop, owner, owner_start, owner_stop, similarity) of the passages that pairs (doc, owner) share, by texts (id, text)."""
+    """(doc, start, stop, owner, owner_start, owner_stop, similarity) of the passages that pairs (doc, owner) share, by texts (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,55 +299,100 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     ["doc", "start", "stop", "owner", "owner_start", "owner_stop", "similarity"],
                 )
 
-    one = texts.select(F.col("id").alias("doc"), F.col("text").alias("text"))
-    two = texts.select(F.col("id").alias("owner"), F.col("text").alias("owner_text"))
+    one = texts.select("doc", "text")
+    two = texts.select(F.col("doc").alias("owner"), F.col("text").alias("owner_text"))
     joined = pairs.join(one, "doc").join(two, "owner").select("doc", "owner", "text", "owner_text")
     return map_arrow(joined, run, "doc long, start int, stop int, owner long, owner_start int, owner_stop int, similarity double")
 
 
-def classed(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, fn, doc, pos, led): the rows of shared and whether they lie in a passage that joins them to their owner's row, as the owner's own row does."""
-    sides = found.select(F.col("doc").alias("d"), F.col("owner").alias("o"), "start", "stop", "owner_start", "owner_stop")
-    here = (F.col("pos") >= F.col("start")) & (F.col("pos") + SHINGLE <= F.col("stop"))
-    there = (F.col("owner_pos") >= F.col("owner_start")) & (F.col("owner_pos") + SHINGLE <= F.col("owner_stop"))
-    joined = shared.join(sides, (F.col("doc") == F.col("d")) & (F.col("owner") == F.col("o")) & here & there, "left")
-    first = (F.col("doc") == F.col("owner")) & (F.col("pos") == F.col("owner_pos"))
-    return joined.groupBy("key", "fn", "doc", "pos").agg(F.max(F.col("d").isNotNull() | first).alias("led"), F.max(first).alias("first"))
+def _ordered(joined: DataFrame) -> DataFrame:
+    """Joined windows with the greater of the two documents as doc."""
+    turn = F.col("doc") < F.col("owner")
+    sides = (("doc", "owner"), ("pos", "pos_o"), ("lo", "lo_o"), ("hi", "hi_o"))
+    return joined.select("fn", *(F.when(turn, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in sides), *(F.when(turn, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in sides))
+
+
+def classed(rows: DataFrame, joined: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows that no passage joins to the text they were joined with, without those texts' own rows."""
+    names = ("doc", "start", "stop"), ("owner", "owner_start", "owner_stop")
+    one = found.select(*(F.col(c).alias("f_" + c) for side in names for c in side))
+    two = found.select(*(F.col(c).alias("f_" + d) for side, other in (names, names[::-1]) for c, d in zip(side, other, strict=True)))
+    inside = (F.col("pos") >= F.col("f_start")) & (F.col("pos") + SHINGLE <= F.col("f_stop"))
+    led = joined.join(one.unionByName(two), (F.col("doc") == F.col("f_doc")) & (F.col("owner") == F.col("f_owner")) & inside, "left_semi").select("key", "doc", "pos")
+    first = joined.select("key", F.col("owner").alias("doc"), F.col("pos_o").alias("pos"))
+    return rows.join(led.unionByName(first).distinct(), ["key", "doc", "pos"], "left_anti")
 
 
-def between(rows: DataFrame, enough: int = ENOUGH) -> DataFrame:
-    """(doc, owner) of all pairs of texts with joined windows of `enough` functions in one stretch of doc, from rows (key, fn, doc, pos, led, first).
+def with_first(rows: DataFrame) -> DataFrame:
+    """Each of rows with the row of its key that has the best surroundings, as owner; of equally good ones the least doc."""
+    best = F.struct("held", (-F.col("doc")).alias("doc"), (-F.col("pos")).alias("pos"))
+    first = rows.groupBy("key").agg(F.max_by(F.struct("doc", "pos", "lo", "hi"), best).alias("x"))
+    first = first.select("key", F.col("x.doc").alias("owner"), *(F.col("x." + c).alias(c + "_o") for c in ("pos", "lo", "hi")))
+    return rows.join(first, "key").where("doc <> owner").drop("held")
 
-    Two windows that are both joined to the first text of their key are in one class and are not paired; so that a pair
-    that has such windows beside others is not lost, those of doc count as joined with every owner.
+
+def unordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (doc, owner), the greater one as doc, each once."""
+    return pairs.select(F.greatest("doc", "owner").alias("doc"), F.least("doc", "owner").alias("owner")).distinct()
+
+
+def beyond(left: DataFrame, owners: DataFrame, spots: DataFrame) -> DataFrame:
+    """(doc, owner) of texts that share a five-word run near a window of left (doc, pos) which none of the text's owners (doc, owner) has.
+
+    Texts whose common runs an owner has as well would both be in a passage with it.  spots: (key, doc, pos) of the shared runs.
     """
-    half = SPAN // 2
-    bit = F.expr("shiftleft(1, fn)")
-    at = F.floor(F.col("pos") / half).cast("int")
-    one = rows.groupBy("key", "fn", "doc", at.alias("at")).agg(F.min("led").alias("led"))
-    two = rows.groupBy("key", F.col("doc").alias("owner")).agg(F.min("led").alias("owner_led"))
-    led = rows.where("led and not first").select("doc", bit.alias("bit"), F.explode(F.array(at, at - 1)).alias("s")).groupBy("doc", "s").agg(F.bit_or("bit").alias("bits"))
-    for name, s in (("here", F.col("at")), ("before", F.col("at") - 1)):
-        one = one.withColumn("s", s).join(led.withColumnRenamed("bits", name), ["doc", "s"], "left").drop("s").withColumn(name, F.coalesce(name, F.lit(0)).bitwiseOR(bit))
-    joined = one.join(two, "key").where((F.col("doc") > F.col("owner")) & ~(F.col("led") & F.col("owner_led")))
-    joined = joined.repartition("doc", "owner").groupBy("doc", "owner", "at").agg(*(F.bit_or(x).alias(x) for x in ("here", "before")))  # one shuffle serves both
-    each = joined.select("doc", "owner", F.explode(F.array(F.struct(F.col("at").alias("s"), F.col("here").alias("bits")), F.struct((F.col("at") - 1).alias("s"), F.col("before").alias("bits")))).alias("x"))
-    counted = each.groupBy("doc", "owner", "x.s").agg(F.bit_or("x.bits").alias("bits")).where(F.bit_count("bits") >= enough)
-    return counted.select("doc", "owner").distinct()
-
-
-def search(docs: DataFrame, copies: DataFrame, scratch: Scratch) -> list[DataFrame]:
-    """Verified passages between different texts, as written tables; copies are documents whose only text a lesser doc_id has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = batch.column(0).to_numpy()
+            at_row, (at,) = _flat(batch.column(1))
+            row, (key, pos) = _flat(batch.column(2))
+            known_row, (known,) = _flat(batch.column(3))
+            edge, edge_at, edge_known = (np.searchsorted(x, np.arange(len(batch) + 1)) for x in (row, at_row, known_row))
+            docs, keys = [], []
+            for r in range(len(batch)):
+                k, p, c = key[edge[r] : edge[r + 1]], pos[edge[r] : edge[r + 1]], np.sort(at[edge_at[r] : edge_at[r + 1]])
+                near = np.searchsorted(c, p + LEAST) > np.searchsorted(c, p - LEAST, "right")
+                new = np.setdiff1d(k[near], known[edge_known[r] : edge_known[r + 1]])
+                docs.append(np.full(len(new), doc[r]))
+                keys.append(new)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (docs, keys)], ["doc", "key"])
+
+    of = spots.groupBy("doc").agg(F.collect_list(F.struct("key", "pos")).alias("spots"))
+    places = left.groupBy("doc").agg(F.collect_set("pos").alias("at"))
+    theirs = owners.join(of.select(F.col("doc").alias("owner"), F.col("spots.key").alias("keys")), "owner").groupBy("doc").agg(F.flatten(F.collect_list("keys")).alias("known"))
+    new = map_arrow(places.join(of, "doc").join(theirs, "doc").select("doc", "at", "spots", "known"), run, "doc long, key long")
+    held = spots.select("key", F.col("doc").alias("owner")).distinct()
+    return unordered(new.join(held, "key").where("doc <> owner"))
+
+
+def search(docs: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFrame:
+    """Verified passages between different texts; copies are documents whose only text a lesser doc_id has."""
     open_ = scratch.keep(windows(docs), "open")
-    shared = shared_runs(open_, scratch, ("fn",)).join(copies.select(F.col("doc_id").alias("doc")), "doc", "left_anti")
-    shared = scratch.keep(shared, "shared")
+    shared = shared_runs(open_, scratch, ("fn", "lo", "hi"), owners=False).join(copies.select(F.col("doc_id").alias("doc")), "doc", "left_anti")
+    by_doc = scratch.keep(shared.groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "fn", "lo", "hi")).alias("wins")), "shared")  # as many as a text has windows
     scratch.drop(open_)
-    wanted = shared.select(F.col("doc").alias("id")).distinct()
-    texts = scratch.keep(docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi"), "texts")
-    pairs = scratch.keep(candidates(shared.where("doc <> owner")), "pairs")
-    found = scratch.keep(verify(pairs, texts), "found")
-    more = scratch.keep(between(classed(shared, found)).join(pairs, ["doc", "owner"], "left_anti"), "pairs")
-    return [found, scratch.keep(verify(more, texts), "found")]
+    texts = scratch.keep(docs.select(F.col("doc_id").alias("doc"), "text").join(by_doc.select("doc"), "doc", "left_semi"), "texts")
+    spread = F.transform("wins", lambda x: F.struct(x["pos"].alias("pos"), x["fn"].alias("fn"), x["lo"].alias("lo"), x["hi"].alias("hi")))
+    runs = scratch.keep(surroundings(texts.join(by_doc.select("doc", spread.alias("wins")), "doc")), "surroundings")
+    spots = scratch.keep(shared_runs(runs, scratch, owners=False), "spots")
+    rows = scratch.keep(supported(by_doc.join(spots.groupBy("doc").agg(F.collect_list("pos").alias("spots")), "doc")), "supported")
+    scratch.drop(runs, by_doc)
+    joined = scratch.keep(with_first(rows), "joined")
+    tested = scratch.keep(meet(_ordered(joined)), "pairs")
+    found = scratch.keep(verify(tested, texts), "found")
+    left, owners = scratch.keep(classed(rows.drop("held"), joined, found), "left"), None
+    for turn in range(2):  # the texts of the rows left with that of the first row, then with the first of those left
+        if turn:
+            joined = scratch.keep(with_first(rows.join(left.select("key", "doc", "pos"), ["key", "doc", "pos"], "left_semi")), "joined")
+        met = joined.join(left.select("key", "doc", "pos"), ["key", "doc", "pos"], "left_semi").select("doc", "owner").distinct()
+        owners = scratch.keep(met if owners is None else owners.unionByName(met).distinct(), "owners")
+        pairs = scratch.keep(unordered(met).join(tested, ["doc", "owner"], "left_anti"), "pairs")
+        found = found.unionByName(scratch.keep(verify(pairs, texts), "found"))
+        tested = tested.unionByName(pairs)
+        left = scratch.keep(classed(left, joined, found), "left")
+    pairs = scratch.keep(beyond(left.select("doc", "pos"), owners, spots).join(tested, ["doc", "owner"], "left_anti"), "pairs")
+    return found.unionByName(scratch.keep(verify(pairs, texts), "found"))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -266,15 +401,12 @@ def find(docs: DataFrame) -> DataFrame:
     Each is given with the place it was verified against, in a lesser doc_id; a copy of another document's whole text has that as its one match.
     """
     scratch = Scratch(docs.sparkSession, "windows")
-    marked = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.md5("text"), F.md5(F.lit(""))).alias("text_key"))
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    marked = scratch.keep(docs.select("doc_id", F.coalesce(F.md5("text"), F.md5(F.lit(""))).alias("text_key")), "marked")
     copies = scratch.keep(distinct_texts(marked).where("doc_id <> first"), "copies")
-    lone = marked.groupBy("doc_id").agg(F.count_distinct("text_key").alias("texts")).where("texts = 1")
-    with batches_of(docs.sparkSession, 250):
-        tables = search(docs, copies.join(lone, "doc_id", "left_semi"), scratch)
-    near = tables[0]
-    for x in tables[1:]:
-        near = near.unionByName(x)
-    near = near.distinct().select(F.col("doc").alias("doc_id"), "start", "stop", F.col("owner").alias("match_doc_id"), F.col("owner_start").alias("match_start"), F.col("owner_stop").alias("match_stop"), "similarity")
+    rows = scratch.keep(marked.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("text_key").alias("texts")).where("n > 1"), "repeated")
+    docs = docs if rows.isEmpty() else docs.distinct()
+    near = search(docs, copies.join(rows.where("texts > 1"), "doc_id", "left_anti"), scratch).distinct().select(F.col("doc").alias("doc_id"), "start", "stop", F.col("owner").alias("match_doc_id"), F.col("owner_start").alias("match_start"), F.col("owner_stop").alias("match_stop"), "similarity")
     n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), ""))
     whole = docs.select("doc_id", "text").join(copies, "doc_id").select("doc_id", "first", n_words.alias("n")).groupBy("doc_id", "first").agg(F.max("n").alias("n")).where(F.col("n") >= WORDS)
     zero = F.lit(0)

@@ -24,8 +24,10 @@ def partitions(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(key, doc, pos, extra, owner, owner_pos, owner_extra) of rows (key, doc, pos, extra) whose key another doc has too; the owner is the first of them by doc and pos.
+def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = (), owners: bool = True) -> DataFrame:
+    """(key, doc, pos, extra, owner, owner_pos) of rows (key, doc, pos, extra) whose key another doc has too; the owner is the first of them by doc and pos.
+
+    Without owners only the rows themselves are given.
 
     The rows are sorted by key, doc and pos over all partitions, and neighbours are compared within
     each.  Ranges split even a single key's rows, so no key can overload a task; the runs at either
@@ -33,10 +35,10 @@ def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = ())
     rows must be a written table: sorting reads it twice.
     """
     own = ["key", "doc", "pos", *extra]
-    first = ["owner", "owner_pos", *("owner_" + x for x in extra)]
+    first = ["owner", "owner_pos"] if owners else []
     ranged = rows.select(*own).repartitionByRange(partitions(rows), "key", "doc", "pos").sortWithinPartitions("key", "doc", "pos")
     kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in own), *(f"{c} {kinds[x]}" for c, x in zip(first, own[1:], strict=True)), "edge boolean"])
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in own), *(f"{c} {kinds[x]}" for c, x in zip(first, own[1:], strict=False)), "edge boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -51,12 +53,12 @@ def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = ())
         end[[0, -1]] = True
         take = np.repeat(several | end, size)
         heads = np.repeat(begin, size)[take]
-        out = [*(c[take] for c in column), *(c[heads] for c in column[1:]), np.repeat(end, size)[take]]
+        out = [*(c[take] for c in column), *(c[heads] for c in column[1 : 1 + len(first)]), np.repeat(end, size)[take]]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], [*own, *first, "edge"])
 
     scanned = scratch.keep(map_arrow(ranged, run, schema), "runs")
-    lowest = scanned.where("edge").groupBy("key").agg(F.min(F.struct(*first)).alias("f"), F.max("doc").alias("last")).where("f.owner <> last")
-    ends = lowest.select("key", "f.*").orderBy("key").toArrow()  # two keys a partition at most
+    edges = scanned.where("edge").groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("last"), *([F.min(F.struct(*first)).alias("f")] if owners else []))
+    ends = edges.where("least <> last").select("key", *(["f.*"] if owners else [])).orderBy("key").toArrow()  # two keys a partition at most
     shared = rows.sparkSession.sparkContext.broadcast([c.to_numpy() for c in ends.columns])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
