@@ -336,29 +336,49 @@ def unordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("doc", "owner").alias("doc"), F.least("doc", "owner").alias("owner")).distinct()
 
 
+def prefix(key: np.ndarray, pos: np.ndarray, n: np.ndarray, known: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Keys of which any text that has a passage about one of the places `at`, and is in none with the texts of the known keys, has one.
+
+    In a stretch of LEAST runs about a place it has NEED of the shared runs, so of the keys that are not known at least NEED less the known ones there;
+    whatever has that many of some keys has one of all but so many less one, here of those that the fewest rows have.
+    """
+    order = np.argsort(pos)
+    key, pos, n, known = key[order], pos[order], n[order], known[order]
+    begin = at[:, None] - np.arange(LEAST)
+    held, seen = (np.searchsorted(x, begin + LEAST) - np.searchsorted(x, begin) for x in (pos, pos[known]))
+    short = np.where(held >= NEED, np.maximum(NEED - seen, 1), LEAST + 1).min(1, initial=LEAST + 1)
+    out = []
+    new_key, new_pos, new_n = key[~known], pos[~known], n[~known]
+    low, high = np.searchsorted(new_pos, at - LEAST, "right"), np.searchsorted(new_pos, at + LEAST)
+    for p in np.flatnonzero((short <= LEAST) & (high - low >= short)):
+        some, at_first = np.unique(new_key[low[p] : high[p]], return_index=True)
+        some = some[np.argsort(new_n[low[p] : high[p]][at_first], kind="stable")]
+        out.append(some[: max(len(some) - short[p] + 1, 0)])
+    return np.unique(np.concatenate(out)) if out else key[:0]
+
+
 def beyond(left: DataFrame, owners: DataFrame, spots: DataFrame) -> DataFrame:
-    """(doc, owner) of texts that share a five-word run near a window of left (doc, pos) which none of the text's owners (doc, owner) has.
+    """(doc, owner) of texts that share so many five-word runs about a window of left (doc, pos) which none of the text's owners (doc, owner) has that a passage is possible.
 
-    Texts whose common runs an owner has as well would both be in a passage with it.  spots: (key, doc, pos) of the shared runs.
+    Texts whose common runs an owner has as well would both be in a passage with it.  spots: (key, doc, pos, n) of the shared runs.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc = batch.column(0).to_numpy()
             at_row, (at,) = _flat(batch.column(1))
-            row, (key, pos) = _flat(batch.column(2))
+            row, (key, pos, n) = _flat(batch.column(2))
             known_row, (known,) = _flat(batch.column(3))
             edge, edge_at, edge_known = (np.searchsorted(x, np.arange(len(batch) + 1)) for x in (row, at_row, known_row))
             docs, keys = [], []
             for r in range(len(batch)):
-                k, p, c = key[edge[r] : edge[r + 1]], pos[edge[r] : edge[r + 1]], np.sort(at[edge_at[r] : edge_at[r + 1]])
-                near = np.searchsorted(c, p + LEAST) > np.searchsorted(c, p - LEAST, "right")
-                new = np.setdiff1d(k[near], known[edge_known[r] : edge_known[r + 1]])
+                mine = slice(edge[r], edge[r + 1])
+                new = prefix(key[mine], pos[mine], n[mine], np.isin(key[mine], known[edge_known[r] : edge_known[r + 1]]), at[edge_at[r] : edge_at[r + 1]])
                 docs.append(np.full(len(new), doc[r]))
                 keys.append(new)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (docs, keys)], ["doc", "key"])
 
-    of = spots.groupBy("doc").agg(F.collect_list(F.struct("key", "pos")).alias("spots"))
+    of = spots.groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "n")).alias("spots"))
     places = left.groupBy("doc").agg(F.collect_set("pos").alias("at"))
     theirs = owners.join(of.select(F.col("doc").alias("owner"), F.col("spots.key").alias("keys")), "owner").groupBy("doc").agg(F.flatten(F.collect_list("keys")).alias("known"))
     new = map_arrow(places.join(of, "doc").join(theirs, "doc").select("doc", "at", "spots", "known"), run, "doc long, key long")
@@ -375,7 +395,7 @@ def search(docs: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFrame:
     texts = scratch.keep(docs.select(F.col("doc_id").alias("doc"), "text").join(by_doc.select("doc"), "doc", "left_semi"), "texts")
     spread = F.transform("wins", lambda x: F.struct(x["pos"].alias("pos"), x["fn"].alias("fn"), x["lo"].alias("lo"), x["hi"].alias("hi")))
     runs = scratch.keep(surroundings(texts.join(by_doc.select("doc", spread.alias("wins")), "doc")), "surroundings")
-    spots = scratch.keep(shared_runs(runs, scratch, owners=False), "spots")
+    spots = scratch.keep(shared_runs(runs, scratch, owners=False, sizes=True), "spots")
     rows = scratch.keep(supported(by_doc.join(spots.groupBy("doc").agg(F.collect_list("pos").alias("spots")), "doc")), "supported")
     scratch.drop(runs, by_doc)
     joined = scratch.keep(with_first(rows), "joined")

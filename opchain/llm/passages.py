@@ -24,10 +24,10 @@ def partitions(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
-def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = (), owners: bool = True) -> DataFrame:
+def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = (), owners: bool = True, sizes: bool = False) -> DataFrame:
     """(key, doc, pos, extra, owner, owner_pos) of rows (key, doc, pos, extra) whose key another doc has too; the owner is the first of them by doc and pos.
 
-    Without owners only the rows themselves are given.
+    Without owners only the rows themselves are given.  With sizes n says how many rows have the key; for those that two partitions share, in one of them.
 
     The rows are sorted by key, doc and pos over all partitions, and neighbours are compared within
     each.  Ranges split even a single key's rows, so no key can overload a task; the runs at either
@@ -36,9 +36,10 @@ def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = (),
     """
     own = ["key", "doc", "pos", *extra]
     first = ["owner", "owner_pos"] if owners else []
+    counted = ["n"] if sizes else []
     ranged = rows.select(*own).repartitionByRange(partitions(rows), "key", "doc", "pos").sortWithinPartitions("key", "doc", "pos")
     kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in own), *(f"{c} {kinds[x]}" for c, x in zip(first, own[1:], strict=False)), "edge boolean"])
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in own), *(f"{c} {kinds[x]}" for c, x in zip(first, own[1:], strict=False)), *(f"{c} int" for c in counted), "edge boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = list(batches)
@@ -53,8 +54,8 @@ def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = (),
         end[[0, -1]] = True
         take = np.repeat(several | end, size)
         heads = np.repeat(begin, size)[take]
-        out = [*(c[take] for c in column), *(c[heads] for c in column[1 : 1 + len(first)]), np.repeat(end, size)[take]]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], [*own, *first, "edge"])
+        out = [*(c[take] for c in column), *(c[heads] for c in column[1 : 1 + len(first)]), *(np.repeat(size, size)[take].astype(np.int32) for _ in counted), np.repeat(end, size)[take]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], [*own, *first, *counted, "edge"])
 
     scanned = scratch.keep(map_arrow(ranged, run, schema), "runs")
     edges = scanned.where("edge").groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("last"), *([F.min(F.struct(*first)).alias("f")] if owners else []))
@@ -71,6 +72,7 @@ def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = (),
             for c, head in zip(first, heads, strict=True):
                 mine = batch.column(c).to_numpy()
                 out.append(pa.array(np.where(edge & found, head[at], mine).astype(mine.dtype) if len(known) else mine))
-            yield pa.RecordBatch.from_arrays(out, [*own, *first]).filter(pa.array(~edge | found))
+            out += [batch.column(c) for c in counted]
+            yield pa.RecordBatch.from_arrays(out, [*own, *first, *counted]).filter(pa.array(~edge | found))
 
     return map_arrow(scanned, settle, schema.removesuffix(", edge boolean"))
