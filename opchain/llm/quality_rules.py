@@ -6,7 +6,7 @@ catches are removed before the next is grown.  The list becomes one Spark condit
 
 Nulls, empty and odd input: a null text has no words, lines or symbols; so has an empty one.
 Labels without doc_id or quality, or other than 0 and 1, are ignored; of several labels of one doc_id the
-least counts.  Without labels of both classes the list is empty and rejects nothing.  Repeated rows
+least counts, and of several texts the one of the least counts.  Without labels of both classes the list is empty and rejects nothing.  Repeated rows
 get equal verdicts, an empty table gives no rows, and columns of docs may have any names.
 """
 
@@ -155,27 +155,32 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, cuts: int, depth: int) -> l
 
 
 def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.9, most: int = 12, cuts: int = 40, depth: int = 4) -> list[Rule]:
-    """Sequential covering.  A rule stays if, on the texts held back, its Laplace precision is `precision` or more."""
+    """Sequential covering.  Each rule is grown on two thirds of the texts left and pruned to the conditions of the best Laplace precision on the last third.
+
+    It stays if `precision` of what it catches in the third held back is bad, some text at least, and its Laplace precision over all texts left
+    is `precision` too.  The thirds take turns, and the list ends when no turn gives a rule: a kind of bad text with few examples needs only some in each third.
+    """
     rules: list[Rule] = []
     left = np.ones(len(bad), bool)
-    back = np.arange(len(bad)) % 3 == 2
-    while len(rules) < most and (left & bad & ~back).sum() >= 3:
+    turn = failed = 0
+    while len(rules) < most and failed < 3 and (left & bad).any():
+        back = np.arange(len(bad)) % 3 == turn % 3
+        turn += 1
         grow, prune = left & ~back, left & back
         conditions = _grow({k: v[grow] for k, v in x.items()}, bad[grow], cuts, depth)
-
-        def worth(k: int, among: np.ndarray, conditions: list = conditions) -> float:
-            caught = Rule(tuple(conditions[:k])).holds(x) & among
-            p, n = (caught & bad).sum(), (caught & ~bad).sum()
-            return (p + 1) / (p + n + 2)
-
-        if not conditions:
-            break
-        k = max(range(1, len(conditions) + 1), key=lambda k: (worth(k, prune), -k))
-        rule = Rule(tuple(conditions[:k]))
-        if worth(k, prune) < precision or worth(k, left) < precision:
-            break
-        rules.append(rule)
-        left &= ~rule.holds(x)
+        best: tuple[float, Rule | None] = (0.0, None)
+        for k in range(1, len(conditions) + 1):
+            rule = Rule(tuple(conditions[:k]))
+            (p, n), (p_all, n_all) = ((int((rule.holds(x) & m & bad).sum()), int((rule.holds(x) & m & ~bad).sum())) for m in (prune, left))
+            worth = (p + 1) / (p + n + 2)
+            if p and p >= precision * (p + n) and p_all + 1 >= precision * (p_all + n_all + 2) and worth > best[0] + 1e-12:
+                best = (worth, rule)
+        if best[1] is None:
+            failed += 1
+            continue
+        failed = 0
+        rules.append(best[1])
+        left &= ~best[1].holds(x)
     return rules
 
 
@@ -187,8 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 5000) -> list[Rule]
     if len({r.quality for r in sample}) < 2:
         return []
     chosen = docs.sparkSession.createDataFrame([(r.doc_id, r.quality, r["at"]) for r in sample], "doc_id long, quality int, at long")
-    rows = measure(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).drop("text").distinct().collect()
-    rows.sort(key=lambda r: (r["at"], r.doc_id, r.n_words, r.word_chars))
+    measured = measure(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    rows = measured.groupBy("doc_id", "at", "quality").agg(F.min(F.struct(*COUNTS)).alias("c")).select("doc_id", "at", "quality", "c.*").collect()  # one of each document
+    rows.sort(key=lambda r: (r["at"], r.doc_id))
     if len({r.quality for r in rows}) < 2:
         return []
     found = features({c: np.array([r[c] for r in rows], float) for c in COUNTS})

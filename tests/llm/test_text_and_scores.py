@@ -125,3 +125,23 @@ def test_fit_reads_whole_texts(spark):
     new = spark.createDataFrame([(i, text(i % 2, 400)) for i in range(20)], "doc_id long, text string")
     assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in C.score(new, C.fit(docs, labels)).collect())
     assert all((r.score > 0.5) == (r.doc_id % 2 == 1) for r in C.score(docs, C.fit(docs, labels)).collect())
+
+
+def test_rules_for_kinds_of_few_examples():
+    """Three kinds of bad text with eight to twelve examples each, of which none looks like the others, are all caught on texts not learned from."""
+    rng = np.random.default_rng(5)
+
+    def texts(n, kinds):
+        x = {name: rng.normal(m, s, n) for name, (m, s) in {"mean_word_chars": (4.5, 0.3), "symbols_per_word": (0.02, 0.01), "dup_line_share": (0.05, 0.03)}.items()}
+        bad = np.zeros(n, bool)
+        for name, value, k in kinds:
+            at = rng.choice(np.flatnonzero(~bad), k, replace=False)
+            x[name][at], bad[at] = value + rng.random(k), True
+        return x, bad
+
+    kinds = [("mean_word_chars", 9, 12), ("symbols_per_word", 0.4, 8), ("dup_line_share", 0.5, 9)]
+    rules = Q.learn(*texts(300, kinds))
+    x, bad = texts(300, kinds)
+    caught = np.logical_or.reduce([r.holds(x) for r in rules])
+    assert (caught & bad).sum() == bad.sum() and not (caught & ~bad).any()
+    assert Q.learn({"words": rng.random(200)}, rng.random(200) < 0.2) == []
