@@ -389,15 +389,18 @@ def beyond(left: DataFrame, owners: DataFrame, spots: DataFrame) -> DataFrame:
 def search(docs: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFrame:
     """Verified passages between different texts; copies are documents whose only text a lesser doc_id has."""
     open_ = scratch.keep(windows(docs), "open")
-    shared = shared_runs(open_, scratch, ("fn", "lo", "hi"), owners=False).join(copies.select(F.col("doc_id").alias("doc")), "doc", "left_anti")
+    held = shared_runs(open_, scratch, ("fn", "lo", "hi"), owners=False)
+    shared = held.join(copies.select(F.col("doc_id").alias("doc")), "doc", "left_anti")
     by_doc = scratch.keep(shared.groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "fn", "lo", "hi")).alias("wins")), "shared")  # as many as a text has windows
-    scratch.drop(open_)
+    scratch.drop(open_, held)
     texts = scratch.keep(docs.select(F.col("doc_id").alias("doc"), "text").join(by_doc.select("doc"), "doc", "left_semi"), "texts")
     spread = F.transform("wins", lambda x: F.struct(x["pos"].alias("pos"), x["fn"].alias("fn"), x["lo"].alias("lo"), x["hi"].alias("hi")))
     runs = scratch.keep(surroundings(texts.join(by_doc.select("doc", spread.alias("wins")), "doc")), "surroundings")
-    spots = scratch.keep(shared_runs(runs, scratch, owners=False, sizes=True), "spots")
+    held = shared_runs(runs, scratch, owners=False, sizes=True)
+    spots = scratch.keep(held, "spots")
+    scratch.drop(runs, held)
     rows = scratch.keep(supported(by_doc.join(spots.groupBy("doc").agg(F.collect_list("pos").alias("spots")), "doc")), "supported")
-    scratch.drop(runs, by_doc)
+    scratch.drop(by_doc)
     joined = scratch.keep(with_first(rows), "joined")
     tested = scratch.keep(meet(_ordered(joined)), "pairs")
     found = scratch.keep(verify(tested, texts), "found")

@@ -242,8 +242,9 @@ def near_classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     entries = scratch.keep(rows.select(F.col("doc_id").alias("doc"), "n", F.col("bands").alias("all"), "entries").join(wanted, "doc", "left_semi"), "entries")
     scratch.drop(rows)
     labelled = scratch.keep(label_rows(texts), "labels")
-    held = scratch.keep(shared_runs(labelled, scratch).groupBy("doc").agg(F.count("*").alias("s")), "held")
-    scratch.drop(labelled)
+    shared_labels = shared_runs(labelled, scratch, owners=False)
+    held = scratch.keep(shared_labels.groupBy("doc").agg(F.count("*").alias("s")), "held")
+    scratch.drop(labelled, shared_labels)
     sizes = entries.groupBy("doc").agg(F.max("n").alias("n")).join(held, "doc", "left").withColumn("s", F.coalesce("s", F.lit(0)))
     if not several.isEmpty():  # documents of several texts have no bound and no sketch
         sizes = sizes.join(several, "doc", "left").withColumn("s", F.when(F.col("texts") > 1, -1).otherwise(F.col("s"))).drop("texts")

@@ -32,7 +32,7 @@ def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = (),
     The rows are sorted by key, doc and pos over all partitions, and neighbours are compared within
     each.  Ranges split even a single key's rows, so no key can overload a task; the runs at either
     end of a partition, which may go on in the next, are two keys a partition and are settled at the end.
-    rows must be a written table: sorting reads it twice.
+    rows must be a written table: sorting reads it twice.  The result reads a written table as well, which Scratch.drop() takes away.
     """
     own = ["key", "doc", "pos", *extra]
     first = ["owner", "owner_pos"] if owners else []
@@ -75,4 +75,6 @@ def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = (),
             out += [batch.column(c) for c in counted]
             yield pa.RecordBatch.from_arrays(out, [*own, *first, *counted]).filter(pa.array(~edge | found))
 
-    return map_arrow(scanned, settle, schema.removesuffix(", edge boolean"))
+    out = map_arrow(scanned, settle, schema.removesuffix(", edge boolean"))
+    out.scratch_path = scanned.scratch_path  # type: ignore[attr-defined]
+    return out

@@ -113,11 +113,11 @@ def passages(docs: DataFrame, scratch: Scratch, least: int = LEAST, gram: int =
     marks = shared.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("marks"))
     texts = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("doc"))
     starts = scratch.keep(_starts(texts, least, gram), "starts")
-    scratch.drop(kept, ordered)
+    scratch.drop(kept, ordered, shared)
     hits = shared_runs(starts, scratch)
     by_doc = hits.groupBy("doc").agg(F.collect_list(F.struct("pos", "owner", "owner_pos", (F.col("owner") < F.col("doc")).alias("later"))).alias("hits"))
     spans = scratch.keep(map_arrow(by_doc, _joined(least), "doc long, start int, stop int, owner long, owner_start int, later boolean"), "spans")
-    scratch.drop(starts)
+    scratch.drop(starts, hits)
     return spans, members
 
 
