@@ -80,7 +80,7 @@ def component_matrix(edges: DataFrame, w: list[str]) -> DataFrame:
 
 
 def describe(edges: DataFrame, n: int, catalog: Catalog) -> str:
-    """A small graph as text, one edge a line."""
-    rows = edges.orderBy("link", "op_id", X.key_text(F.col("suffix"))).select("link", "op_id", "jw", X.key_text(F.col("suffix")).alias("suffix"), "re", "im").limit(1000).collect()
+    """A graph as text, one line for each of its edges, which are read one partition at a time."""
+    rows = edges.orderBy("link", "op_id", X.key_text(F.col("suffix"))).select("link", "op_id", "jw", X.key_text(F.col("suffix")).alias("suffix"), "re", "im").toLocalIterator()
     name = lambda k: catalog.ops[n - 1][k - 1].name
     return "\n".join(f"site {n}: link {r.link}, {name(r.op_id)}{' F' if r.jw else ''} -> [{r.suffix}] {complex(r.re, r.im)}" for r in rows)
