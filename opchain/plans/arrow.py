@@ -7,7 +7,6 @@ import re
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
