@@ -6,7 +6,7 @@ operators itself, and a weight.  Rows may repeat an edge; their weights add up.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opchain.functions import terms as X
@@ -66,6 +66,16 @@ def with_components(edges: DataFrame, scratch: Scratch, left: str = "lv", right:
     return edges.join(lefts.join(names, "component").select(F.col("l").alias(left), F.col("name").alias("component")), left)
 
 
+def kinds(edges: DataFrame, *more: Column) -> DataFrame:
+    """(component, single, ...): whether each component has a single left vertex, so that it passes on as it is, and further aggregates."""
+    return edges.groupBy("component").agg((F.min("lv") == F.max("lv")).alias("single"), *more)
+
+
+def of_kind(edges: DataFrame, kinds: DataFrame, single: bool) -> DataFrame:
+    """The edges of the components with a single left vertex, or of the others."""
+    return edges.join(kinds.where(F.col("single") == single).select("component"), "component")
+
+
 def component_sizes(edges: DataFrame) -> DataFrame:
     """(component, n_left, n_right, n_edges)."""
     return edges.groupBy("component").agg(F.countDistinct("lv").alias("n_left"), F.countDistinct("rv").alias("n_right"), F.count("*").alias("n_edges"))

@@ -84,17 +84,23 @@ def check_independent(catalog: Catalog) -> None:
         seen[id(ops)] = True
 
 
-def check_terms(terms: DataFrame, catalog: Catalog) -> None:
-    """Raises unless the terms are sorted, have one operator a site at most, and agree in flux and fermion parity; terms with coefficient 0 are ignored."""
+def term_facts(terms: DataFrame, catalog: Catalog) -> DataFrame:
+    """One row of what `check_terms` looks at: n_terms, how many are unsorted or have several operators on one site, and the least and most flux and parity; terms with coefficient 0 are ignored."""
     live = terms.where(F.hypot("coeff.re", "coeff.im") > 0)
     sites = F.transform("ops", lambda x: x["n"])
     pairs = F.arrays_zip(F.slice(sites, 1, F.greatest(F.size(sites) - 1, F.lit(0))).alias("a"), F.slice(sites, 2, F.size(sites)).alias("b"))
-    found = live.agg(
-        F.bool_or(F.exists(pairs, lambda p: p["a"] > p["b"])).alias("unsorted"),
-        F.bool_or(F.exists(pairs, lambda p: p["a"] == p["b"])).alias("twice"),
+    return live.agg(
+        F.count("*").alias("n_terms"),
+        F.count_if(F.exists(pairs, lambda p: p["a"] > p["b"])).alias("unsorted"),
+        F.count_if(F.exists(pairs, lambda p: p["a"] == p["b"])).alias("twice"),
         F.min(X.flux(F.col("ops"), 1, catalog)).alias("least"), F.max(X.flux(F.col("ops"), 1, catalog)).alias("most"),
         F.min(X.is_odd(F.col("ops"), 1, catalog)).alias("even"), F.max(X.is_odd(F.col("ops"), 1, catalog)).alias("odd"),
-    ).first()
+    )
+
+
+def check_terms(terms: DataFrame, catalog: Catalog) -> None:
+    """Raises unless the terms are sorted, have one operator a site at most, and agree in flux and fermion parity."""
+    found = term_facts(terms, catalog).first()
     if found.unsorted:
         raise ValueError("The operators of a term are not sorted by site")
     if found.twice:

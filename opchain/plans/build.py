@@ -108,13 +108,25 @@ def _run_local(rows: list, catalog: Catalog, o: Options, first: int, keep: Calla
     return dict(zip(names, (np.concatenate(c) for c in zip(*columns, strict=True)), strict=True)), links
 
 
+def numbered_through(ranks: DataFrame, merge: bool, scratch: Scratch) -> DataFrame:
+    """Components (component, qn, rank) with `offset`, the number of channels before theirs; with merge, those of one quantity lie together."""
+    return running_total(ranks, ["qn", "component"] if merge else ["component"], "rank", "offset", scratch)
+
+
+def sectors(placed: DataFrame, merge: bool) -> DataFrame:
+    """(qn, dim, offset) of each sector of a link: one for each quantity with merge, else one for each component."""
+    dim, offset = (F.sum("rank"), F.min("offset")) if merge else (F.col("rank"), F.col("offset"))
+    made = [dim.cast("int").alias("dim"), offset.cast("int").alias("offset")]
+    return placed.groupBy("qn").agg(*made) if merge else placed.select("qn", *made)
+
+
 def _distributed_site(edges: DataFrame, site: int, catalog: Catalog, o: Options, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(parts, links, passed on) of one site's edges."""
     last = site == len(catalog)
     numbered = scratch.keep(G.with_components(G.numbered(edges, ["link", "op_id", "jw"], ["suffix"], scratch), scratch), "site")
-    kinds = numbered.groupBy("component").agg((F.min("lv") == F.max("lv")).alias("single"), F.min(F.struct("lv", "rv", "suffix"))["suffix"].alias("suffix"))
+    kinds = G.kinds(numbered, F.min(F.struct("lv", "rv", "suffix"))["suffix"].alias("suffix"))
     kinds = scratch.keep(kinds.select("component", "single", X.flux(F.col("suffix"), site + 1, catalog).alias("qn")), "kinds")
-    one = numbered.join(kinds.where("single").select("component"), "component")
+    one = G.of_kind(numbered, kinds, True)
     weight = (F.sum("re").alias("re"), F.sum("im").alias("im")) if last else (F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
     simple = one.groupBy("component", "lv").agg(F.count("*").alias("_n"), *(weight if last else [])) if last else one.select("component", "lv").distinct().withColumns({"re": F.lit(1.0), "im": F.lit(0.0)})
     kind_parts = simple.select("component", F.lit(0).alias("kind"), F.lit(0).alias("m"), F.col("lv").alias("v"), "re", "im", F.lit(1).alias("rank"))
@@ -133,18 +145,16 @@ def _distributed_site(edges: DataFrame, site: int, catalog: Catalog, o: Options,
         yield pa.RecordBatch.from_arrays(arrays, ["component", "kind", "m", "v", "re", "im", "rank"])
 
     send_package(edges.sparkSession)
-    many = numbered.join(kinds.where("not single").select("component"), "component").select("component", "lv", "rv", "re", "im")
+    many = G.of_kind(numbered, kinds, False).select("component", "lv", "rv", "re", "im")
     made = many.groupBy("component").applyInArrow(run, "component long, kind int, m int, v long, re double, im double, rank int")
     rows = scratch.keep(kind_parts.unionByName(kind_edges).unionByName(made), "rows")
     ranks = rows.groupBy("component").agg(F.max("rank").alias("rank")).join(kinds.select("component", "qn"), "component")
-    order = ["qn", "component"] if o.combine_sectors else ["component"]
-    placed = scratch.keep(running_total(ranks, order, "rank", "offset", scratch), "placed")
+    placed = scratch.keep(numbered_through(ranks, o.combine_sectors, scratch), "placed")
     at = rows.join(placed.select("component", "offset"), "component").withColumn("link", (F.col("m") + F.col("offset") + 1).cast("int"))
     lefts, rights = numbered.select("lv", "link", "op_id", "jw").distinct().withColumnRenamed("link", "left_link"), numbered.select("rv", "suffix").distinct()
     parts = at.where("kind = 0").join(lefts, F.col("v") == F.col("lv")).select(F.lit(site).alias("site"), "component", F.col("link").alias("right_link"), "left_link", "op_id", "jw", "re", "im")
     passed = at.where("kind = 1").join(rights, F.col("v") == F.col("rv")).select("link", "suffix", "re", "im")
-    sectors = placed.groupBy("qn").agg(F.sum("rank").cast("int").alias("dim"), F.min("offset").cast("int").alias("offset")) if o.combine_sectors else placed.select("qn", F.col("rank").cast("int").alias("dim"), F.col("offset").cast("int").alias("offset"))
-    one_each = sectors.withColumn("_one", F.lit(1))
+    one_each = sectors(placed, o.combine_sectors).withColumn("_one", F.lit(1))
     links = running_total(one_each, ["offset"], "_one", "sector", scratch).select(F.lit(site).alias("l"), (F.col("sector") + 1).cast("int").alias("sector"), "qn", "dim", "offset")
     return parts, links, passed.where("false") if last else passed
 

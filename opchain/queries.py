@@ -13,7 +13,7 @@ from opchain.operators import cover, graph, rewrite, tensor
 from opchain.operators import terms as sums
 from opchain.plans.arrow import send_package
 from opchain.plans.bonds import bond_dimensions as bonds
-from opchain.plans.build import Options, build
+from opchain.plans.build import Options, build, numbered_through, sectors
 from opchain.plans.ranges import running_total
 from opchain.plans.scratch import Scratch
 from opchain.sources import adapters, generate
@@ -138,6 +138,30 @@ _CUTS = """, sides as (select key, cut, coalesce(string_agg(case when n <= cut t
   from uops cross join (select unnest(range(1, 8)) as cut) group by 1, 2)
 """
 
+#: Ranks modulo a prime of matrices given as entries (g, a, b, w): every step takes a column's first row with an entry there out and clears the column in the others.
+_RANKS = """, numbered as (select g, dense_rank() over (partition by g order by a) as a, dense_rank() over (partition by g order by b) as b, w from entries),
+turned as (select g, case when na <= nb then b else a end as r, case when na <= nb then a else b end as c, cast(w as bigint) % 1073741789 as w, least(na, nb) as width
+  from (select *, max(a) over (partition by g) as na, max(b) over (partition by g) as nb from numbered)),
+width as (select g, r, any_value(width) as width from turned group by 1, 2),
+spread as (select g, r, unnest(range(1, width + 1)) as c from width),
+filled as (select s.g, s.r, list(coalesce(t.w, 0) order by s.c) as v from spread s left join turned t on t.g = s.g and t.r = s.r and t.c = s.c group by 1, 2),
+cleared(first, g, r, v) as (select true, g, r, v from filled union all
+  select false, g, r, case when pv is null or v[1] = 0 then v[2:] else list_transform(list_zip(v[2:], pv[2:]), lambda x: (x[1] * pv[1] - x[2] * v[1]) % 1073741789) end
+  from (select *, min(case when v[1] <> 0 then r end) over (partition by g) as pr, arg_min(v, case when v[1] <> 0 then r end) over (partition by g) as pv from cleared where len(v) > 0) where pr is null or r <> pr),
+ranks as (select g, count(*) filter (first) - count(*) filter (len(v) = 0) as rank from cleared group by 1),
+near as (select distinct x.g, x.c, y.c as d from turned x join turned y on x.g = y.g and x.r = y.r),
+met(g, c, part) using key (g, c) as (select distinct g, c, c from turned union
+  select n.g, n.d, min(m.part) from met m join near n on n.g = m.g and n.c = m.c join recurring.met o on o.g = n.g and o.c = n.d where m.part < o.part group by 1, 2),
+pieces as (select g, count(distinct part) as n_components from met group by 1)
+"""
+#: The largest matching of a graph is the rank of its matrix with independent random entries, and the size of a least cover.
+_RANDOM = "cast(hash({}) % 1073741788 as bigint) + 1"
+_CUT_RANKS = _CUTS + ", entries as (select cut as g, prefix as a, suffix as b, sum(w) as w from sides join uniq using (key) group by 1, 2, 3)" + _RANKS
+_CUT_COVERS = _CUTS + ", entries as (select distinct cut as g, prefix as a, suffix as b, " + _RANDOM.format("prefix || '/' || suffix") + " as w from sides)" + _RANKS
+_PART_COVERS = COMPONENTS + ", entries as (select component as g, pg.lv as a, rv as b, " + _RANDOM.format("pg.lv || '/' || rv") + " as w from pg join label on label.lv = pg.lv)" + _RANKS
+_BONDS = "select cast(g as int) as cut, cast(rank as bigint) as bond from ranks"
+_BONDS_AND_PARTS = "select cast(g as int) as cut, n_components, cast(rank as bigint) as bond from ranks join pieces using (g)"
+
 
 def _text(c: str) -> object:
     return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["n"], x["id"])), "|")
@@ -236,7 +260,7 @@ def _covers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("component").applyInArrow(run, "component long, lv long, rv long, covered boolean, size long")
 
 
-@query()
+@query(_PART_COVERS + "select g as component, cast(rank as bigint) as size from ranks")
 def vertex_cover_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The size of a least vertex cover of each component."""
     return _covers(spark, sf_dir).groupBy("component").agg(F.max("size").alias("size"))
@@ -253,16 +277,15 @@ select component, rv, cast(w as bigint) as w from m where component in (select c
 def single_left_fast_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of components with one left vertex, which pass on as they are."""
     e = labelled_parts(spark, sf_dir)
-    single = e.groupBy("component").agg((F.min("lv") == F.max("lv")).alias("single")).where("single").select("component")
-    return e.join(single, "component").select("component", "rv", "w")
+    return graph.of_kind(e, graph.kinds(e), True).select("component", "rv", "w")
 
 
 @query(COMPONENTS + """, c as (select component, count(distinct pg.lv) as rank from pg join label on label.lv = pg.lv group by 1)
-select component % 3 as qn, cast(sum(rank) as bigint) as dim, count(*) as n_components from c group by 1""")
+select qn, cast(dim as int) as dim, cast(coalesce(sum(dim) over (order by qn rows between unbounded preceding and 1 preceding), 0) as int) as "offset" from (select component % 3 as qn, sum(rank) as dim from c group by 1)""")
 def qn_sectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sectors of components with one quantity (their name mod 3), with their dimensions added up."""
-    c = graph.component_sizes(labelled_parts(spark, sf_dir))
-    return c.groupBy((F.col("component") % 3).alias("qn")).agg(F.sum("n_left").alias("dim"), F.count("*").alias("n_components"))
+    """Sectors of components with one quantity (their name mod 3), with their dimensions added up and their first channels."""
+    c = graph.component_sizes(labelled_parts(spark, sf_dir)).select("component", (F.col("component") % 3).alias("qn"), F.col("n_left").alias("rank"))
+    return sectors(numbered_through(c, True, Scratch(spark, "sectors")), True)
 
 
 @query(COMPONENTS + """, c as (select component, count(distinct pg.lv) as rank from pg join label on label.lv = pg.lv group by 1)
@@ -273,13 +296,13 @@ def component_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running_total(c, ["component"], "n_left", "offset", Scratch(spark, "offsets")).select("component", "offset")
 
 
-@query()
+@query(_CUT_RANKS + _BONDS_AND_PARTS)
 def bond_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least bond dimension of every cut of the sum of all orders."""
     return bonds(unique_terms(spark, sf_dir), N)
 
 
-@query()
+@query(_CUT_COVERS + _BONDS_AND_PARTS)
 def bond_dimensions_vc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The size of a least vertex cover at every cut."""
     return bonds(unique_terms(spark, sf_dir), N, alg="VC")
@@ -300,9 +323,8 @@ def basis_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select count(*) as n_terms, cast(min(nf) as bigint) as least_flux, cast(max(nf) as bigint) as most_flux, cast(0 as bigint) as n_unsorted, cast(0 as bigint) as n_repeated from (select t.term_id, coalesce(sum(case o.id when 2 then -1 when 3 then 1 else 0 end), 0) as nf from terms t left join ops o using (term_id) group by 1)""")
 def validate_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the checks of a sum look at."""
-    t = adapters.order_terms(spark, sf_dir).withColumn("nf", X.flux(F.col("ops"), 1, fermions())[0]["val"].cast("long"))
-    sites = F.transform("ops", lambda x: x["n"])
-    return t.agg(F.count("*").alias("n_terms"), F.min("nf").alias("least_flux"), F.max("nf").alias("most_flux"), F.count_if(F.array_sort(sites) != sites).alias("n_unsorted"), F.count_if(F.size(F.array_distinct(sites)) != F.size(sites)).alias("n_repeated"))
+    nf = lambda c: F.col(c)[0]["val"].cast("long")
+    return rewrite.term_facts(adapters.order_terms(spark, sf_dir), fermions()).select("n_terms", nf("least").alias("least_flux"), nf("most").alias("most_flux"), F.col("unsorted").alias("n_unsorted"), F.col("twice").alias("n_repeated"))
 
 
 @query("""select n as site, id as right_link, ln as left_link, i, j, cast(sum(q * v * case when p % 2 = 1 and j = 2 then -1 else 1 end) as double) as v from lines join (values (2, 1, 2, 1.0), (3, 2, 1, 1.0), (4, 2, 2, 1.0)) m(id2, i, j, v) on id2 = id group by 1, 2, 3, 4, 5 having sum(q * v * case when p % 2 = 1 and j = 2 then -1 else 1 end) <> 0""")
@@ -338,13 +360,13 @@ def _order_chain(spark: SparkSession, sf_dir: str, alg: str):
     return build(adapters.order_terms(spark, sf_dir), pauli(), Options(alg), check=False)
 
 
-@query()
+@query(_CUT_RANKS + _BONDS)
 def chain_bonds_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bond dimensions of the operator built site by site by QR."""
     return _order_chain(spark, sf_dir, "QR").bond_dimensions()
 
 
-@query()
+@query(_CUT_COVERS + _BONDS)
 def chain_bonds_vc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bond dimensions of the operator built site by site by vertex covers."""
     return _order_chain(spark, sf_dir, "VC").bond_dimensions()
@@ -370,37 +392,60 @@ def _generated(raw: DataFrame, kind: str, n: int, basis: list[str] | None, alg:
     return build(sums.append(terms, catalog), catalog, Options(alg), basis=Catalog.uniform(kind, n, basis, conserve) if basis else None, check=False).bond_dimensions()
 
 
-@query()
+def _at_cuts(n: int, bond: str, before: str = "") -> str:
+    """SQL for a bond dimension given by the numbers l and r of sites on both sides."""
+    return f"{before}select cast(l as int) as cut, cast({bond} as bigint) as bond from (select l, {n} - l as r from (select unnest(range(1, {n})) as l))"
+
+
+# What crosses a cut, counted: channels that end, begin, or carry one, two or three of a term's operators.
+_RING = "2 + 4 * least(l, r, 2)"
+#: One wave left and three right or the reverse where momenta match, of four kinds; pairs of six kinds for each momentum that both sides can make.
+_WAVES = """, side as (select l, k, k < l as here from (select unnest(range(1, 8)) as l) cross join (select unnest(range(0, 8)) as k)),
+pairs as (select distinct a.l, a.here, kind, case kind when 'sum' then (a.k + b.k) % 8 else (a.k - b.k + 8) % 8 end as k from side a join side b on a.l = b.l and a.here = b.here cross join (values ('sum'), ('difference')) v(kind)),
+both_make as (select l, kind, count(*) as n from (select l, kind, k from pairs group by all having count(*) = 2) group by 1, 2),
+reached as (select s.l, count(*) as n from side s where exists (select 1 from pairs p join side c on c.l = p.l and c.here = p.here where p.l = s.l and p.here <> s.here and p.kind = 'sum' and (p.k - c.k + 8) % 8 = s.k) group by 1)
+"""
+#: Generic integrals: the smaller side of each kind bounds it.
+_ELECTRONS = "2 + least(8 * l * l - 2 * l, 8 * r * r - 2 * r) + 4 * least(l, r * r * r + r * r * (r - 1) // 2) + 4 * least(r, l * l * l + l * l * (l - 1) // 2)"
+_SPINS = "2 + 3 * least(l, r) - cast(least(l, r) = 1 as int)"
+#: The least cover of strings by weight: those lighter than t on the left and those of at most 4 - t on the right, for the best t.
+_STRINGS = """, light as (select n, t, sum(coalesce(ways, 0)) as strings from (select unnest(range(1, 8)) as n) cross join (select unnest(range(0, 5)) as t)
+  left join (select n as n2, a, cast(factorial(cast(n as int)) / factorial(cast(a as int)) / factorial(cast(n - a as int)) * 3 ** a as bigint) as ways from (select unnest(range(1, 8)) as n) cross join (select unnest(range(0, 5)) as a) where a <= n) on n2 = n and a <= t group by 1, 2)
+"""
+
+
+@query(_at_cuts(10, _RING))
 def hubbard_real_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bonds of a Hubbard ring of 10 sites."""
     return _generated(generate.hubbard_real_space(spark, 10), "Electron", 10, None, "QR")
 
 
-@query()
+@query(_WAVES + """select cast(l as int) as cut, cast(2 + 4 * reached.n + 2 * sum(b.n) filter (kind = 'sum') + 4 * sum(b.n) filter (kind = 'difference') as bigint) as bond from reached join both_make b using (l) group by l, reached.n""")
 def hubbard_momentum_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bonds of the ring of 8 sites in plane waves."""
     return _generated(generate.hubbard_momentum_space(spark, 8), "Electron", 8, generate.ELECTRON_BASIS, "QR")
 
 
-@query()
+@query(_at_cuts(6, _ELECTRONS))
 def electronic_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bonds of generic electronic structure on 6 sites by vertex covers."""
     return _generated(generate.electronic_structure(spark, 6), "Electron", 6, generate.ELECTRON_BASIS, "VC")
 
 
-@query()
+@query(_at_cuts(40, _SPINS))
 def haldane_shastry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bonds of inverse square couplings on a ring of 40 spins."""
     return _generated(generate.haldane_shastry(spark, 40), "S=1/2", 40, None, "QR")
 
 
-@query()
+@query(_STRINGS + """select cast(a.n as int) as cut, cast(min(coalesce(x.strings, 0) + coalesce(y.strings, 0)) as bigint) as bond from (select unnest(range(1, 8)) as n) a cross join (select unnest(range(0, 6)) as t) t
+left join light x on x.n = a.n and x.t = t.t - 1 left join light y on y.n = 8 - a.n and y.t = 4 - t.t group by 1""")
 def pauli_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bonds of all Pauli strings of weight up to 4 on 8 sites."""
     return _generated(generate.pauli_strings(spark, 8, 4), "Qubit", 8, None, "QR", False)
 
 
-@query()
+@query(_at_cuts(6, "2 ** least(l, r)"))
 def fourier_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bonds of the Fourier transform of 6 bits, written in reversed order."""
     return _generated(generate.fourier_transform(spark, 6, True), "Qubit", 6, None, "QR", False)
