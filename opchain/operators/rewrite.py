@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opchain.functions import terms as X
 from opchain.operators.terms import runs_on_one_site, times
+from opchain.plans.arrow import send_package
+from opchain.plans.scratch import Scratch
 from opchain.sources.catalog import Catalog
 
 
@@ -19,7 +24,7 @@ def _scaled(m: np.ndarray) -> tuple[np.ndarray, complex]:
 
 
 def products(runs: list[tuple[int, tuple[int, ...]]], given: Catalog, basis: Catalog, tolerance: float = 0.0) -> list[tuple]:
-    """(n, ids, basis id, re, im) of products of operators on a site: which basis operator each is, and times what.  Zero products have id 0."""
+    """(n, ids, basis id, re, im) of products of operators on a site: which basis operator each is, and times what.  Zero products have id 0, those that no operator of the basis is a multiple of have none."""
     out = []
     for n, ids in runs:
         m = np.eye(given.sites[n - 1].dim, dtype=complex)
@@ -36,22 +41,38 @@ def products(runs: list[tuple[int, tuple[int, ...]]], given: Catalog, basis: Cat
                 out.append((n, list(ids), k, factor.real, factor.imag))
                 break
         else:
-            names = "*".join(given.ops[n - 1][i - 1].name for i in ids)
-            raise ValueError(f"The product {names} on site {n} is not a multiple of a basis operator")
+            out.append((n, list(ids), None, 0.0, 0.0))
     return out
 
 
+def product_table(runs: DataFrame, given: Catalog, basis: Catalog, scratch: Scratch, tolerance: float = 0.0) -> DataFrame:
+    """`products` of the different runs (n, ids), multiplied where the runs are.  Raises ValueError if one is not in the basis."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = products([(n, tuple(ids)) for n, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], given, basis, tolerance)
+            cols = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int32(), pa.list_(pa.int32()), pa.int32(), pa.float64(), pa.float64()], strict=True)], ["n", "ids", "id", "re", "im"])
+
+    send_package(runs.sparkSession)
+    table = scratch.keep(runs.select("n", "ids").distinct().mapInArrow(run, "n int, ids array<int>, id int, re double, im double"), "products")
+    bad = table.where("id is null").orderBy("n", "ids").first()
+    if bad:
+        names = "*".join(given.ops[bad.n - 1][i - 1].name for i in bad.ids)
+        raise ValueError(f"The product {names} on site {bad.n} is not a multiple of a basis operator")
+    return table
+
+
 def rewrite_in_basis(terms: DataFrame, given: Catalog, basis: Catalog, tolerance: float = 0.0) -> DataFrame:
     """Terms with one basis operator a site; ids are the basis's.  Terms sorted by site are expected.
 
     A term with a vanishing product stays, with coefficient 0 and no operators.  Identities that the
-    products give are removed.  The different runs are few however many the terms (ids to the power of a run's length, a
-    site), so the driver multiplies the matrices and the terms are joined with the resulting table.
+    products give are removed.  The terms are written once; the table of the different runs is joined without a hint, so that it is
+    broadcast only if it is small.
     """
-    different = runs_on_one_site(terms).select("n", "ids").distinct().collect()
-    table = products(sorted({(r.n, tuple(r.ids)) for r in different}), given, basis, tolerance)
-    lookup = terms.sparkSession.createDataFrame(table, "n int, ids array<int>, id int, re double, im double")
-    found = runs_on_one_site(terms).join(F.broadcast(lookup), ["n", "ids"])
+    scratch = Scratch(terms.sparkSession, "rewrite")
+    terms = scratch.keep(terms, "terms")
+    found = runs_on_one_site(terms).join(product_table(runs_on_one_site(terms), given, basis, scratch, tolerance), ["n", "ids"])
     factor = F.aggregate(
         F.collect_list(F.struct("re", "im")), F.struct(F.lit(1.0).alias("re"), F.lit(0.0).alias("im")),
         lambda a, x: F.struct((a["re"] * x["re"] - a["im"] * x["im"]).alias("re"), (a["re"] * x["im"] + a["im"] * x["re"]).alias("im")),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from opchain.plans.arrow import send_package
 from opchain.plans.build import Mpo
 from opchain.sources.catalog import JORDAN_WIGNER, Catalog
 
@@ -73,9 +77,9 @@ def _state_table(mpo: Mpo) -> DataFrame:
     for n, s in enumerate(mpo.catalog.sites, 1):
         at = 0
         for b, (q, d) in enumerate(s.sectors(), 1):
-            rows += [(n, at + k + 1, b, d, [list(x) for x in q]) for k in range(d)]
+            rows += [(n, at + k + 1, b, d, k + 1, [list(x) for x in q]) for k in range(d)]
             at += d
-    return mpo.parts.sparkSession.createDataFrame(rows, "site int, state int, block int, block_dim int, qn array<struct<name:string,val:int,mod:int>>")
+    return mpo.parts.sparkSession.createDataFrame(rows, "site int, state int, block int, block_dim int, within int, qn array<struct<name:string,val:int,mod:int>>")
 
 
 def _placed(e: DataFrame, mpo: Mpo) -> DataFrame:
@@ -83,14 +87,50 @@ def _placed(e: DataFrame, mpo: Mpo) -> DataFrame:
     links = link_table(mpo.links)
     dims = mpo.links.select("l", "sector", F.col("dim").alias("sector_dim"), "qn")
     n = len(mpo)
-    right = links.join(dims.select("l", "sector", "sector_dim"), ["l", "sector"]).select(F.col("l").alias("site"), F.col("position").alias("right_link"), F.col("sector").alias("right_sector"), F.col("sector_dim").alias("right_dim"), F.col("qn").alias("right_qn"))
-    left = right.select((F.col("site") + 1).alias("site"), F.col("right_link").alias("left_link"), F.col("right_sector").alias("left_sector"), F.col("right_dim").alias("left_dim"), F.col("right_qn").alias("left_qn"))
+    right = links.join(dims.select("l", "sector", "sector_dim"), ["l", "sector"]).select(F.col("l").alias("site"), F.col("position").alias("right_link"), F.col("sector").alias("right_sector"), F.col("sector_dim").alias("right_dim"), F.col("qn").alias("right_qn"), F.col("within").alias("right_at"))
+    left = right.select((F.col("site") + 1).alias("site"), F.col("right_link").alias("left_link"), F.col("right_sector").alias("left_sector"), F.col("right_dim").alias("left_dim"), F.col("right_qn").alias("left_qn"), F.col("right_at").alias("left_at"))
     states = F.broadcast(_state_table(mpo))
-    row = states.select("site", F.col("state").alias("i"), F.col("block").alias("row_block"), F.col("block_dim").alias("row_dim"), F.col("qn").alias("row_qn"))
-    col = states.select("site", F.col("state").alias("j"), F.col("block").alias("col_block"), F.col("block_dim").alias("col_dim"), F.col("qn").alias("col_qn"))
+    row = states.select("site", F.col("state").alias("i"), F.col("block").alias("row_block"), F.col("block_dim").alias("row_dim"), F.col("within").alias("row_at"), F.col("qn").alias("row_qn"))
+    col = states.select("site", F.col("state").alias("j"), F.col("block").alias("col_block"), F.col("block_dim").alias("col_dim"), F.col("within").alias("col_at"), F.col("qn").alias("col_qn"))
     out = e.join(right, ["site", "right_link"], "left").join(left, ["site", "left_link"], "left").join(row, ["site", "i"]).join(col, ["site", "j"])
     one = lambda c: F.coalesce(c, F.lit(1)).alias(c)
-    return out.select("site", "component", "right_link", "left_link", "i", "j", "re", "im", one("right_sector"), one("right_dim"), one("left_sector"), one("left_dim"), "row_block", "row_dim", "col_block", "col_dim", "right_qn", "left_qn", "row_qn", "col_qn", (F.col("site") == n).alias("is_last"))
+    return out.select("site", "component", "right_link", "left_link", "i", "j", "re", "im", one("right_sector"), one("right_dim"), one("left_sector"), one("left_dim"), one("left_at"), one("right_at"), "row_block", "row_dim", "row_at", "col_block", "col_dim", "col_at", "right_qn", "left_qn", "row_qn", "col_qn", (F.col("site") == n).alias("is_last"))
+
+
+def block_values(e: DataFrame, mpo: Mpo) -> DataFrame:
+    """(site, left_sector, right_sector, row_block, col_block, shape, re, im): blocks that hold an entry, with all their values, zeros too.
+
+    shape is (left, right, row, col), the last varies fastest in the values.  A block is one row, so its size bounds what a task holds;
+    no entries give no rows.
+    """
+    keys = ["site", "left_sector", "right_sector", "row_block", "col_block"]
+    dims = [F.col(x).cast("long") for x in ("left_dim", "right_dim", "row_dim", "col_dim")]
+    at = block_id(*(F.col(x).cast("long") for x in ("left_at", "right_at", "row_at", "col_at")), *dims[1:])
+    placed = _placed(e, mpo).select(*(F.col(k).cast("int").alias(k) for k in keys), F.array(*dims).alias("shape"), at.alias("at"), "re", "im")
+
+    def run(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(groups))
+        shape = t["shape"][0].as_py()
+        values = np.zeros((2, int(np.prod(shape))))
+        for part, name in zip(values, ("re", "im"), strict=True):
+            np.add.at(part, t["at"].to_numpy(), t[name].to_numpy())
+        arrays = [pa.array([t[k][0].as_py()], pa.int32()) for k in keys] + [pa.array([shape], pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([v.tolist()], pa.list_(pa.float64())) for v in values)], [*keys, "shape", "re", "im"])
+
+    send_package(mpo.parts.sparkSession)
+    return placed.groupBy(*keys).applyInArrow(run, ", ".join(f"{k} int" for k in keys) + ", shape array<long>, re array<double>, im array<double>")
+
+
+def site_tensor(mpo: Mpo, site: int, limit: int = 1 << 26) -> np.ndarray:
+    """One site's whole tensor by (left link, right link, row, col), without blocks; over `limit` values it raises ValueError."""
+    s = full_sizes(mpo).where(F.col("site") == site).first()
+    shape = (s.left_dim, s.right_dim, s.dim, s.dim)
+    if int(np.prod(shape)) > limit:
+        raise ValueError("The tensor is too large to be held whole; use its entries or blocks")
+    out = np.zeros(shape, complex)
+    for r in entries(mpo.parts.where(F.col("site") == site), mpo.catalog).toLocalIterator():
+        out[r.left_link - 1, r.right_link - 1, r.i - 1, r.j - 1] += complex(r.re, r.im)
+    return out if mpo.is_complex else out.real
 
 
 def with_flux(e: DataFrame, mpo: Mpo) -> DataFrame:

@@ -22,7 +22,7 @@ from opchain.functions import terms as X
 from opchain.operators import graph as G
 from opchain.operators import rewrite
 from opchain.operators.decompose import split
-from opchain.operators.terms import combine, from_names
+from opchain.operators.terms import combine, from_names, needs_complex
 from opchain.plans.arrow import send_package
 from opchain.plans.local_chain import Tails, graph_at, step
 from opchain.plans.ranges import running_total
@@ -57,6 +57,7 @@ class Mpo:
     catalog: Catalog
     parts: DataFrame
     links: DataFrame
+    is_complex: bool = True
 
     def __len__(self) -> int:
         return len(self.catalog)
@@ -200,10 +201,12 @@ def _continue(spark: SparkSession, catalog: Catalog, passed: DataFrame, first: i
 
 def build(
     terms: DataFrame, catalog: Catalog, options: Options | None = None, basis: Catalog | None = None, check: bool = True, abs_tol: float = 0.0,
-    hook: Hook | None = None, checkpoint: str | None = None, local_terms: int = LOCAL_TERMS,
+    hook: Hook | None = None, checkpoint: str | None = None, local_terms: int = LOCAL_TERMS, is_complex: bool | None = None, check_flux: bool | None = None,
 ) -> Mpo:
     """The operator of a sum of terms (term_id, coeff, ops) in canonical form.
 
+    is_complex: the type of its values; left out, it is taken from the coefficients and the operators' matrices, and a sum that needs complex values can't be real.
+    check_flux (as check, if left out): whether every entry of the finished tensors must carry the flux that its links and states say.
     basis: operators to rewrite same-site products in.  hook is called after each site with its parts, links and what it passes on.
     An empty sum, or one that cancels, raises ValueError.
     """
@@ -218,7 +221,17 @@ def build(
         passed = Scratch(spark, "terms").keep(unique.select(F.lit(1).alias("link"), F.col("ops").alias("suffix"), "re", "im"), "unique")
     if passed.isEmpty():
         raise ValueError("The sum has no terms")
-    return _continue(spark, catalog, passed, 1, o, hook, checkpoint, local_terms)
+    needed = needs_complex(passed.select(F.struct("re", "im").alias("coeff")), catalog)
+    if needed and is_complex is False:
+        raise ValueError("The sum needs complex values")
+    mpo = _continue(spark, catalog, passed, 1, o, hook, checkpoint, local_terms)
+    mpo.is_complex = needed if is_complex is None else is_complex
+    if check if check_flux is None else check_flux:
+        from opchain.operators.tensor import instantiate
+
+        with timed(spark, "flux of the tensors", o.output_level):
+            instantiate(mpo)
+    return mpo
 
 
 def build_from_names(raw: DataFrame, sites: list[SiteType], **options) -> Mpo:

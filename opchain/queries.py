@@ -366,6 +366,12 @@ def chain_bonds_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _order_chain(spark, sf_dir, "QR").bond_dimensions()
 
 
+@query(_CUT_RANKS + _BONDS)
+def chain_bonds_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the steps for sums that the driver doesn't hold."""
+    return build(adapters.order_terms(spark, sf_dir), pauli(), Options("QR"), check=False, local_terms=0).bond_dimensions()
+
+
 @query(_CUT_COVERS + _BONDS)
 def chain_bonds_vc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bond dimensions of the operator built site by site by vertex covers."""
@@ -400,10 +406,10 @@ def _at_cuts(n: int, bond: str, before: str = "") -> str:
 # What crosses a cut, counted: channels that end, begin, or carry one, two or three of a term's operators.
 _RING = "2 + 4 * least(l, r, 2)"
 #: One wave left and three right or the reverse where momenta match, of four kinds; pairs of six kinds for each momentum that both sides can make.
-_WAVES = """, side as (select l, k, k < l as here from (select unnest(range(1, 8)) as l) cross join (select unnest(range(0, 8)) as k)),
-pairs as (select distinct a.l, a.here, kind, case kind when 'sum' then (a.k + b.k) % 8 else (a.k - b.k + 8) % 8 end as k from side a join side b on a.l = b.l and a.here = b.here cross join (values ('sum'), ('difference')) v(kind)),
+_WAVES = """, side as (select l, k, k < l as here from (select unnest(range(1, 20)) as l) cross join (select unnest(range(0, 20)) as k)),
+pairs as (select distinct a.l, a.here, kind, case kind when 'sum' then (a.k + b.k) % 20 else (a.k - b.k + 20) % 20 end as k from side a join side b on a.l = b.l and a.here = b.here cross join (values ('sum'), ('difference')) v(kind)),
 both_make as (select l, kind, count(*) as n from (select l, kind, k from pairs group by all having count(*) = 2) group by 1, 2),
-reached as (select s.l, count(*) as n from side s where exists (select 1 from pairs p join side c on c.l = p.l and c.here = p.here where p.l = s.l and p.here <> s.here and p.kind = 'sum' and (p.k - c.k + 8) % 8 = s.k) group by 1)
+reached as (select s.l, count(*) as n from side s where exists (select 1 from pairs p join side c on c.l = p.l and c.here = p.here where p.l = s.l and p.here <> s.here and p.kind = 'sum' and (p.k - c.k + 20) % 20 = s.k) group by 1)
 """
 #: Generic integrals: the smaller side of each kind bounds it.
 _ELECTRONS = "2 + least(8 * l * l - 2 * l, 8 * r * r - 2 * r) + 4 * least(l, r * r * r + r * r * (r - 1) // 2) + 4 * least(r, l * l * l + l * l * (l - 1) // 2)"
@@ -414,22 +420,22 @@ _STRINGS = """, light as (select n, t, sum(coalesce(ways, 0)) as strings from (s
 """
 
 
-@query(_at_cuts(10, _RING))
+@query(_at_cuts(1000, _RING))
 def hubbard_real_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bonds of a Hubbard ring of 10 sites."""
-    return _generated(generate.hubbard_real_space(spark, 10), "Electron", 10, None, "QR")
+    """Bonds of a Hubbard ring of 1000 sites."""
+    return _generated(generate.hubbard_real_space(spark, 1000), "Electron", 1000, None, "QR")
 
 
 @query(_WAVES + """select cast(l as int) as cut, cast(2 + 4 * reached.n + 2 * sum(b.n) filter (kind = 'sum') + 4 * sum(b.n) filter (kind = 'difference') as bigint) as bond from reached join both_make b using (l) group by l, reached.n""")
 def hubbard_momentum_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bonds of the ring of 8 sites in plane waves."""
-    return _generated(generate.hubbard_momentum_space(spark, 8), "Electron", 8, generate.ELECTRON_BASIS, "QR")
+    """Bonds of the ring of 20 sites in plane waves."""
+    return _generated(generate.hubbard_momentum_space(spark, 20), "Electron", 20, generate.ELECTRON_BASIS, "QR")
 
 
-@query(_at_cuts(6, _ELECTRONS))
+@query(_at_cuts(10, _ELECTRONS))
 def electronic_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bonds of generic electronic structure on 6 sites by vertex covers."""
-    return _generated(generate.electronic_structure(spark, 6), "Electron", 6, generate.ELECTRON_BASIS, "VC")
+    """Bonds of generic electronic structure on 10 sites by vertex covers."""
+    return _generated(generate.electronic_structure(spark, 10), "Electron", 10, generate.ELECTRON_BASIS, "VC")
 
 
 @query(_at_cuts(40, _SPINS))
@@ -449,3 +455,22 @@ def pauli_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fourier_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bonds of the Fourier transform of 6 bits, written in reversed order."""
     return _generated(generate.fourier_transform(spark, 6, True), "Qubit", 6, None, "QR", False)
+
+
+@query(_at_cuts(8, "1"))
+def product_operator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bonds of a product over 8 sites, multiplied out into 4**8 terms."""
+    factors = [(1.0, 0.5 + k / 8, 0.25j, -0.75) for k in range(8)]
+    return _generated(generate.product_operator(spark, factors), "Qubit", 8, None, "QR", False)
+
+
+@query(_at_cuts(50, "2"))
+def weight_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bonds of a sum of one operator a site, on 50 sites."""
+    return _generated(generate.weight_one(spark, 50), "Qubit", 50, None, "QR", False)
+
+
+@query()
+def transcorrelated_hubbard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bonds of the ring of 6 sites in plane waves with three-body terms."""
+    return _generated(generate.transcorrelated_hubbard(spark, 6, -0.5), "Electron", 6, generate.ELECTRON_BASIS, "QR")

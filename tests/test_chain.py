@@ -192,3 +192,31 @@ def test_files_and_streams(spark, tmp_path):
     got = {tuple((o.id, o.n) for o in r.ops): r.re for r in ingested(spark, str(tmp_path / "out")).collect()}
     want = {tuple((o.id, o.n) for o in r.ops): r.re for r in combine(append(terms, catalog)).collect()}
     assert got == want
+
+
+def test_block_values_and_site_tensors(spark):
+    m = build_from_names(W.hubbard_real_space(spark, 4), [site_type("Electron")] * 4, options=Options(combine_sectors=True))
+    e = T.entries(m.parts, m.catalog)
+    rows, sizes = T.block_values(e, m).collect(), {tuple(r)[:5]: r for r in T.blocks(e, m).collect()}
+    assert len(rows) == len(sizes)
+    for r in rows:
+        b = sizes[tuple(r)[:5]]
+        assert len(r.re) == len(r.im) == b["size"] == np.prod(r["shape"]) and np.count_nonzero(r.re) == b.n
+    assert T.block_values(e.where("false"), m).count() == 0
+    state = np.ones((1, 1, 1))
+    for n in range(1, 5):
+        t = T.site_tensor(m, n)
+        assert t.dtype == float
+        state = np.einsum("lab,lrij->raibj", state, t).reshape(t.shape[1], state.shape[1] * 4, -1)
+    assert np.abs(state[0] - T.dense(m)).max() < 1e-12
+    with pytest.raises(ValueError, match="too large"):
+        T.site_tensor(m, 2, 10)
+
+
+def test_value_type(spark):
+    sites = [site_type("Qubit", False)] * 2
+    real, turned = (spark.createDataFrame([(0, (1.0, im), [("X", 1), ("X", 2)])], schema.RAW_TERMS) for im in (0.0, 1.0))
+    assert not build_from_names(real, sites).is_complex and build_from_names(turned, sites).is_complex
+    assert build_from_names(real, sites, is_complex=True).is_complex
+    with pytest.raises(ValueError, match="complex"):
+        build_from_names(turned, sites, is_complex=False)
