@@ -7,7 +7,8 @@ need a response from before the partition, so one row a partition settles the re
 
 A revisit counts as validated if it and the response share one validator at least (payload digest,
 ETag, Last-Modified) and every shared one is equal; as conflict if one differs, as unchecked if none
-is shared, as orphan if there is no earlier response.  A validated revisit has the response's payload and its headers, in which
+is shared, as orphan if there is no earlier response.  A revisit of the profile "identical payload digest" that is no 304 answer names its record itself and says nothing of the URL's
+latest response, so it is left out; without a profile a revisit counts as "not modified".  A validated revisit has the response's payload and its headers, in which
 the permitted fields of the revisit's own headers take the place of the old ones.
 
 Nulls, empty and odd input: records without an id, URL or time, and of other types, are left out; null headers are empty.
@@ -30,6 +31,8 @@ from opchain.llm.passages import partitions
 from opchain.plans.arrow import map_arrow
 from opchain.plans.scratch import Scratch
 
+#: Fixed value: how the profile ends of revisits that were recognised by their payload (WARC 1.1, 6.7).
+IDENTICAL = "identical-payload-digest"
 #: The fields that a 304 answer sends anew (RFC 9110, 15.4.5), in lower case.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 RECORDS = "record_id string, url string, fetched timestamp, type string, profile string, digest string, refers_to string, status int, headers map<string,string>, payload binary"
@@ -190,14 +193,15 @@ def latest_response(records: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def resolve(records: DataFrame) -> DataFrame:
-    """(record_id, url, fetched, base, outcome, headers, digest) of every revisit among records (record_id, url, fetched, type, status, digest, headers).
+    """(record_id, url, fetched, base, outcome, headers, digest) of every not-modified revisit among records (record_id, url, fetched, type, status, digest, headers, and profile if there is one).
 
     headers and digest are the merged ones if the outcome is validated, else the revisit's own.
     """
     scratch = Scratch(records.sparkSession, "revisits")
     known = records.where("record_id is not null and url is not null and fetched is not null and type in ('response', 'revisit')")
     known = known.withColumn("headers", F.coalesce("headers", F.create_map().cast("map<string,string>"))).withColumn("url_key", canonical(F.col("url"))).withColumn("full", F.col("type") == "response")
-    known = known.where("not full or coalesce(status, 200) = 200")
+    by_payload = F.coalesce(F.rtrim(F.col("profile"), F.lit("/")).endswith(IDENTICAL), F.lit(False)) if "profile" in records.columns else F.lit(False)
+    known = known.where(F.when(F.col("full"), F.coalesce("status", F.lit(200)) == 200).otherwise(~by_payload | (F.coalesce("status", F.lit(0)) == 304)))
     light = scratch.keep(known.select("record_id", "url", "url_key", "fetched", "full", "digest", "headers"), "light")
     base = latest_response(light, scratch).distinct()
     own = light.where("not full").join(base, "record_id", "left")

@@ -203,6 +203,24 @@ def test_warc_bytes_and_revisits(spark, tmp_path):
     assert A.resolve(records.limit(0)).count() == 0
 
 
+def test_revisits_by_payload_null_headers_and_equal_times(spark):
+    by_payload, not_modified = (f"http://netpreserve.org/warc/1.1/revisit/{x}" for x in ("identical-payload-digest", "server-not-modified"))
+    rows = [
+        (5, "http://a.b/", 10, "response", None, 200, "d", None, "extra"),
+        (6, "http://a.b/", 10, "revisit", None, 304, "d", None, None),  # the same time, greater id
+        (4, "http://a.b/", 10, "revisit", None, 304, "d", None, None),  # the same time, lesser id
+        (7, "http://a.b/", 11, "revisit", by_payload, 200, "other", None, None),
+        (8, "http://a.b/", 12, "revisit", by_payload + "/", None, "other", None, None),
+        (9, "http://a.b/", 13, "revisit", by_payload, 304, "d", None, None),
+        (10, "http://a.b/", 14, "revisit", not_modified, 200, None, None, None),
+        (None, "http://a.b/", 15, "revisit", None, 304, "d", None, None),
+        (11, None, 15, "revisit", None, 304, "d", None, None),
+    ]
+    df = spark.createDataFrame(rows, "record_id long, url string, fetched long, type string, profile string, status int, digest string, headers map<string,string>, base string")
+    got = {r.record_id: (r.base, r.outcome, r.headers) for r in A.resolve(df).collect()}
+    assert got == {6: (5, "validated", {}), 4: (None, "orphan", {}), 9: (5, "validated", {}), 10: (5, "unchecked", {})}
+
+
 def test_hot_url(spark):
     """One URL with many revisits over many ranges: each finds the latest response before it."""
     rows = [(i, "http://a.b/", i, "response" if i % 500 == 3 else "revisit", 200, str(i - (i - 3) % 500), {}) for i in range(3000)]
@@ -290,3 +308,24 @@ def test_pipeline_stages(spark, tmp_path):
     bad = [k for k in brute_contamination(texts.items(), [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]) if k[5]]
     assert not bad
     assert C.run(spark, SF).count() == docs.count()
+
+
+@needs_tables
+def test_pipeline_on_odd_documents(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated rows and extra columns with clashing names; then no documents at all."""
+    import corpus_pipeline as C
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 60")
+    clean = {r.doc_id for r in docs.collect()}
+    nulls = spark.createDataFrame([(900, None, None, None, None), (901, "", "en", None, 0), (None, None, None, None, None), (902, " \n ", None, "s", 3)], docs.schema)
+    odd = docs.unionByName(nulls).unionByName(docs.where("doc_id < 5")).withColumns({"band": F.lit("x"), "component": F.col("doc_id"), "id": F.lit(None).cast("string"), "n_words": F.lit(0)})
+    for name, table in (("odd", odd), ("none", odd.limit(0))):
+        folder = str(tmp_path / name)
+        table.write.parquet(f"{folder}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{other}.parquet").write.parquet(f"{folder}/{other}.parquet")
+        out = C.run(spark, folder)
+        assert out.columns[:2] == ["doc_id", "piece"]
+        got = {r.doc_id for r in out.collect()}
+        assert got <= clean and bool(got) == (name == "odd")  # texts of under 50 words are rejected, so none of the odd rows is left
