@@ -2,16 +2,20 @@
 
 A table written here cuts the lineage, and a lost executor costs a read instead of a recomputation.
 The folder is spark.checkpoint.dir; only where that is unset (a local session) is one made.
+What was shuffled for a table goes as soon as the table is written, not when the driver next collects its garbage.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,6 +28,20 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _own.setdefault("folder", tempfile.mkdtemp(prefix="opchain-"))
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files are deleted when the query ends.  A stage that is tried again meanwhile still finds or remakes its input."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """Named tables of one run of an operator."""
 
@@ -34,7 +52,8 @@ class Scratch:
         """Writes df and returns a frame that reads it; `path` of the result finds it again for drop()."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        with shuffles_dropped(self.spark):
+            df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path  # type: ignore[attr-defined]
         return out

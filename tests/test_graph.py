@@ -1,5 +1,6 @@
 """Components, matchings, covers and the numbers over total orders, against brute force."""
 
+import time
 import itertools
 import random
 
@@ -101,3 +102,23 @@ def test_drop_rule_qr():
         drop_rule_qr(np.eye(2), -1)
     with pytest.raises(ValueError, match="Unknown algorithm"):
         split("LU", np.zeros(1, int), np.zeros(1, int), np.ones(1))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    scratch = Scratch(spark, "t")
+    kept = scratch.keep(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count().repartitionByRange(3, "k"), "counts")
+    assert {r.k: r["count"] for r in kept.collect()} == {k: 143 if k < 6 else 142 for k in range(7)}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) != "true"
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = manager.getAllFiles()
+        return {n.split("_")[1] for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    seen = shuffles()
+    scratch.keep(spark.range(1000).selectExpr("id % 3 as k").groupBy("k").count(), "again")
+    for _ in range(50):  # they are deleted in the background
+        if shuffles() <= seen:
+            break
+        time.sleep(0.2)
+    assert shuffles() <= seen
