@@ -24,13 +24,59 @@ def partitions(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+def neighbours(batches: Iterator[pa.RecordBatch], own: list[str], first: list[str], counted: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of sorted batches (key, doc, pos, ...) whose key several docs have, and those of the first and the last key.
+
+    first: names for the doc and pos of the key's first row, if wanted; counted: a name for the rows of the key so far.  edge is 0, or for rows of the
+    first or last key 1, or 2 if several docs are known to have that key.  Of a last key that several have, its last row stands for all.
+    """
+    held: list[np.ndarray] = []  # the open run's rows that are not yet given
+    state: tuple | None = None  # the open run: key, doc and pos of its first row, whether several docs have it, its rows so far without the held ones, whether it is the partition's first
+
+    def out(column: list[np.ndarray], take: np.ndarray, heads: list[np.ndarray], count: np.ndarray, edge: np.ndarray) -> pa.RecordBatch:
+        columns = [*(c[take] for c in column), *(h[take] for h, _ in zip(heads, first, strict=False)), *(count[take].astype(np.int32) for _ in counted), edge[take]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*own, *first, *counted, "edge"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        column = [c.to_numpy() for c in batch.columns]
+        if held:
+            column = [np.concatenate(x) for x in zip(held, column, strict=True)]
+        key, doc = column[:2]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(begin, len(key)))
+        heads = [c[begin] for c in column[1:3]]
+        several, count, leading = doc[begin] != doc[begin + size - 1], size.copy(), np.zeros(len(begin), bool)
+        if state is None:
+            leading[0] = True
+        elif state[0] == key[0]:
+            heads[0][0], heads[1][0] = state[1:3]
+            several[0] |= state[3] or heads[0][0] != doc[size[0] - 1]
+            count[0] += state[4]
+            leading[0] = state[5]
+        # of the run that may go on: its rows, its last row if several docs have it, none if it is an edge anyway
+        keep = 0 if leading[-1] else 1 if several[-1] else int(size[-1])
+        held = [c[len(key) - keep :] for c in column] if keep else []
+        state = (key[-1], heads[0][-1], heads[1][-1], bool(several[-1]), int(count[-1]) - keep, bool(leading[-1]))
+        take = np.repeat(several | leading, size)
+        take[len(key) - keep :] = False
+        if take.any():
+            edge = np.where(leading, 1 + several, 0).astype(np.int8)
+            yield out(column, take, [np.repeat(h, size) for h in heads], np.repeat(count, size), np.repeat(edge, size))
+    if held:
+        n = len(held[0])
+        yield out(held, np.ones(n, bool), [np.full(n, state[1]), np.full(n, state[2], held[2].dtype)], np.full(n, state[4] + n), np.full(n, 1 + state[3], np.int8))
+
+
 def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = (), owners: bool = True, sizes: bool = False) -> DataFrame:
     """(key, doc, pos, extra, owner, owner_pos) of rows (key, doc, pos, extra) whose key another doc has too; the owner is the first of them by doc and pos.
 
-    Without owners only the rows themselves are given.  With sizes n says how many rows have the key; for those that two partitions share, in one of them.
+    Without owners only the rows themselves are given.  With sizes n says how many rows have the key, as far as they are counted when the row is given: within its partition, up to the end of its batch.
 
     The rows are sorted by key, doc and pos over all partitions, and neighbours are compared within
-    each.  Ranges split even a single key's rows, so no key can overload a task; the runs at either
+    each, a batch at a time: of a run that goes on in the next batch only the rows of its first doc are held until
+    another doc has the key too.  Ranges split even a single key's rows, so no key can overload a task; the runs at either
     end of a partition, which may go on in the next, are two keys a partition and are settled at the end.
     rows must be a written table: sorting reads it twice.  The result reads a written table as well, which Scratch.drop() takes away.
     """
@@ -39,33 +85,20 @@ def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = (),
     counted = ["n"] if sizes else []
     ranged = rows.select(*own).repartitionByRange(partitions(rows), "key", "doc", "pos").sortWithinPartitions("key", "doc", "pos")
     kinds = dict(rows.dtypes)
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in own), *(f"{c} {kinds[x]}" for c, x in zip(first, own[1:], strict=False)), *(f"{c} int" for c in counted), "edge boolean"])
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in own), *(f"{c} {kinds[x]}" for c, x in zip(first, own[1:], strict=False)), *(f"{c} int" for c in counted), "edge tinyint"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(len(b) for b in held):
-            return
-        column = [c.to_numpy() for c in pa.Table.from_batches(held).columns]
-        key, doc = column[:2]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(begin, len(key)))
-        several = doc[begin] != doc[begin + size - 1]
-        end = np.zeros(len(begin), bool)
-        end[[0, -1]] = True
-        take = np.repeat(several | end, size)
-        heads = np.repeat(begin, size)[take]
-        out = [*(c[take] for c in column), *(c[heads] for c in column[1 : 1 + len(first)]), *(np.repeat(size, size)[take].astype(np.int32) for _ in counted), np.repeat(end, size)[take]]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], [*own, *first, *counted, "edge"])
+        return neighbours(batches, own, first, counted)
 
     scanned = scratch.keep(map_arrow(ranged, run, schema), "runs")
-    edges = scanned.where("edge").groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("last"), *([F.min(F.struct(*first)).alias("f")] if owners else []))
-    ends = edges.where("least <> last").select("key", *(["f.*"] if owners else [])).orderBy("key").toArrow()  # two keys a partition at most
+    edges = scanned.where("edge > 0").groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("last"), F.max("edge").alias("edge"), *([F.min(F.struct(*first)).alias("f")] if owners else []))
+    ends = edges.where("least <> last or edge = 2").select("key", *(["f.*"] if owners else [])).orderBy("key").toArrow()  # two keys a partition at most
     shared = rows.sparkSession.sparkContext.broadcast([c.to_numpy() for c in ends.columns])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, *heads = shared.value
         for batch in batches:
-            key, edge = batch.column("key").to_numpy(), batch.column("edge").to_numpy(zero_copy_only=False)
+            key, edge = batch.column("key").to_numpy(), batch.column("edge").to_numpy() > 0
             at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
             found = known[at] == key if len(known) else np.zeros(len(key), bool)
             out = [batch.column(c) for c in own]
@@ -75,6 +108,6 @@ def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = (),
             out += [batch.column(c) for c in counted]
             yield pa.RecordBatch.from_arrays(out, [*own, *first, *counted]).filter(pa.array(~edge | found))
 
-    out = map_arrow(scanned, settle, schema.removesuffix(", edge boolean"))
+    out = map_arrow(scanned, settle, schema.removesuffix(", edge tinyint"))
     out.scratch_path = scanned.scratch_path  # type: ignore[attr-defined]
     return out

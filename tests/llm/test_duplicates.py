@@ -218,3 +218,30 @@ def test_long_text(spark):
     docs = spark.createDataFrame([(1, long), (2, "x y " + long[1000:]), (3, "short")], "doc_id long, text string")
     assert {r.doc_id for r in S.find(docs).collect()} == {1, 2}
     assert {r.doc_id: r.class_id for r in O.find(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+@pytest.mark.parametrize("batch", [1, 3, 10_000])
+def test_shared_runs_in_batches_of_any_size(spark, batch):
+    from opchain.llm.passages import shared_runs
+    from opchain.plans.scratch import Scratch
+
+    rng = random.Random(batch)
+    rows = {(7, rng.randrange(40), p) for p in range(150)}  # a common key, which spans partitions
+    rows |= {(9, 3, p) for p in range(40)}  # a key of one doc alone, over several batches
+    rows |= {(rng.randrange(-60, 60), rng.randrange(8), rng.randrange(5)) for _ in range(160)}
+    by_key = defaultdict(list)
+    for key, doc, pos in rows:
+        by_key[key].append((doc, pos))
+    want = {(k, d, p, *min(v)) for k, v in by_key.items() if len({d for d, _ in v}) > 1 for d, p in v}
+    name, scratch = "spark.sql.execution.arrow.maxRecordsPerBatch", Scratch(spark, "t")
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(batch))
+    try:
+        table = scratch.keep(spark.createDataFrame(sorted(rows), "key long, doc long, pos int"), "rows")
+        got = shared_runs(table, scratch).collect()
+        plain = shared_runs(table, scratch, owners=False, sizes=True).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert {tuple(r)[:3] for r in plain} == {w[:3] for w in want} and len(plain) == len(want)
+    assert all(1 <= r.n <= len(by_key[r.key]) for r in plain)
