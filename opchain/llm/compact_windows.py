@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opchain.llm import text as T
@@ -360,7 +360,7 @@ def prefix(key: np.ndarray, pos: np.ndarray, n: np.ndarray, known: np.ndarray, a
 def beyond(left: DataFrame, owners: DataFrame, spots: DataFrame) -> DataFrame:
     """(doc, owner) of texts that share so many five-word runs about a window of left (doc, pos) which none of the text's owners (doc, owner) has that a passage is possible.
 
-    Texts whose common runs an owner has as well would both be in a passage with it.  spots: (key, doc, pos, n) of the shared runs.
+    Texts whose common runs an owner has as well would both be in a passage with it.  spots: (doc, spots), the shared runs (key, pos, n) of a text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,28 +378,39 @@ def beyond(left: DataFrame, owners: DataFrame, spots: DataFrame) -> DataFrame:
                 keys.append(new)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (docs, keys)], ["doc", "key"])
 
-    of = spots.groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "n")).alias("spots"))
     places = left.groupBy("doc").agg(F.collect_set("pos").alias("at"))
-    theirs = owners.join(of.select(F.col("doc").alias("owner"), F.col("spots.key").alias("keys")), "owner").groupBy("doc").agg(F.flatten(F.collect_list("keys")).alias("known"))
-    new = map_arrow(places.join(of, "doc").join(theirs, "doc").select("doc", "at", "spots", "known"), run, "doc long, key long")
-    held = spots.select("key", F.col("doc").alias("owner")).distinct()
+    theirs = owners.join(spots.select(F.col("doc").alias("owner"), F.col("spots.key").alias("keys")), "owner").groupBy("doc").agg(F.flatten(F.collect_list("keys")).alias("known"))
+    new = map_arrow(places.join(spots, "doc").join(theirs, "doc").select("doc", "at", "spots", "known"), run, "doc long, key long")
+    held = spots.select(F.explode(F.array_distinct("spots.key")).alias("key"), F.col("doc").alias("owner"))
     return unordered(new.join(held, "key").where("doc <> owner"))
 
 
+_FIELDS = (("pos", 24, "int"), ("fn", 16, "tinyint"), ("lo", 8, "tinyint"), ("hi", 0, "tinyint"))
+
+
+def _packed() -> Column:
+    """A window's place, function and ends as one number, which sorts by place: a byte is enough for each of the last three, as REACH is below 128."""
+    return sum((F.shiftleft(F.col(c).cast("long"), shift) for c, shift, _ in _FIELDS), F.lit(0))
+
+
+def _unpacked(column: str) -> list[Column]:
+    return [(F.shiftright(column, shift) if c == "pos" else F.shiftright(column, shift).bitwiseAND(127)).cast(kind).alias(c) for c, shift, kind in _FIELDS]
+
+
 def search(docs: DataFrame, copies: DataFrame, scratch: Scratch) -> DataFrame:
     """Verified passages between different texts; copies are documents whose only text a lesser doc_id has."""
-    open_ = scratch.keep(windows(docs), "open")
-    held = shared_runs(open_, scratch, ("fn", "lo", "hi"), owners=False)
+    open_ = scratch.keep(windows(docs).select("key", "doc", _packed().alias("pos")), "open")
+    held = shared_runs(open_, scratch, owners=False)
     shared = held.join(copies.select(F.col("doc_id").alias("doc")), "doc", "left_anti")
-    by_doc = scratch.keep(shared.groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "fn", "lo", "hi")).alias("wins")), "shared")  # as many as a text has windows
+    by_doc = scratch.keep(shared.groupBy("doc").agg(F.collect_list(F.struct("key", *_unpacked("pos"))).alias("wins")), "shared")  # as many as a text has windows
     scratch.drop(open_, held)
     texts = scratch.keep(docs.select(F.col("doc_id").alias("doc"), "text").join(by_doc.select("doc"), "doc", "left_semi"), "texts")
     spread = F.transform("wins", lambda x: F.struct(x["pos"].alias("pos"), x["fn"].alias("fn"), x["lo"].alias("lo"), x["hi"].alias("hi")))
     runs = scratch.keep(surroundings(texts.join(by_doc.select("doc", spread.alias("wins")), "doc")), "surroundings")
     held = shared_runs(runs, scratch, owners=False, sizes=True)
-    spots = scratch.keep(held, "spots")
+    spots = scratch.keep(held.groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "n")).alias("spots")), "spots")  # as many as a text has runs
     scratch.drop(runs, held)
-    rows = scratch.keep(supported(by_doc.join(spots.groupBy("doc").agg(F.collect_list("pos").alias("spots")), "doc")), "supported")
+    rows = scratch.keep(supported(by_doc.join(spots.select("doc", F.col("spots.pos").alias("spots")), "doc")), "supported")
     scratch.drop(by_doc)
     joined = scratch.keep(with_first(rows), "joined")
     tested = scratch.keep(meet(_ordered(joined)), "pairs")
