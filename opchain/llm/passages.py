@@ -25,7 +25,7 @@ def partitions(df: DataFrame) -> int:
 
 
 def neighbours(batches: Iterator[pa.RecordBatch], own: list[str], first: list[str], counted: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows of sorted batches (key, doc, pos, ...) whose key several docs have, and those of the first and the last key.
+    """The rows of batches (key, doc, pos, ...), sorted by key and, if first is given, by doc and pos, whose key several docs have, and those of the first and the last key.
 
     first: names for the doc and pos of the key's first row, if wanted; counted: a name for the rows of the key so far.  edge is 0, or for rows of the
     first or last key 1, or 2 if several docs are known to have that key.  Of a last key that several have, its last row stands for all.
@@ -47,12 +47,13 @@ def neighbours(batches: Iterator[pa.RecordBatch], own: list[str], first: list[st
         begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(begin, len(key)))
         heads = [c[begin] for c in column[1:3]]
-        several, count, leading = doc[begin] != doc[begin + size - 1], size.copy(), np.zeros(len(begin), bool)
+        least, last = np.minimum.reduceat(doc, begin), np.maximum.reduceat(doc, begin)
+        several, count, leading = least != last, size.copy(), np.zeros(len(begin), bool)
         if state is None:
             leading[0] = True
         elif state[0] == key[0]:
             heads[0][0], heads[1][0] = state[1:3]
-            several[0] |= state[3] or heads[0][0] != doc[size[0] - 1]
+            several[0] |= state[3] or heads[0][0] != least[0] or heads[0][0] != last[0]
             count[0] += state[4]
             leading[0] = state[5]
         # of the run that may go on: its rows, its last row if several docs have it, none if it is an edge anyway
@@ -74,7 +75,7 @@ def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = (),
 
     Without owners only the rows themselves are given.  With sizes n says how many rows have the key, as far as they are counted when the row is given: within its partition, up to the end of its batch.
 
-    The rows are sorted by key, doc and pos over all partitions, and neighbours are compared within
+    The rows are sorted by key, doc and pos over all partitions (within them by key alone if no owner is asked for), and neighbours are compared within
     each, a batch at a time: of a run that goes on in the next batch only the rows of its first doc are held until
     another doc has the key too.  Ranges split even a single key's rows, so no key can overload a task; the runs at either
     end of a partition, which may go on in the next, are two keys a partition and are settled at the end.
@@ -83,7 +84,7 @@ def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = (),
     own = ["key", "doc", "pos", *extra]
     first = ["owner", "owner_pos"] if owners else []
     counted = ["n"] if sizes else []
-    ranged = rows.select(*own).repartitionByRange(partitions(rows), "key", "doc", "pos").sortWithinPartitions("key", "doc", "pos")
+    ranged = rows.select(*own).repartitionByRange(partitions(rows), "key", "doc", "pos").sortWithinPartitions(*(own[:3] if owners else own[:1]))
     kinds = dict(rows.dtypes)
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in own), *(f"{c} {kinds[x]}" for c, x in zip(first, own[1:], strict=False)), *(f"{c} int" for c in counted), "edge tinyint"])
 
@@ -93,6 +94,11 @@ def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = (),
     scanned = scratch.keep(map_arrow(ranged, run, schema), "runs")
     edges = scanned.where("edge > 0").groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("last"), F.max("edge").alias("edge"), *([F.min(F.struct(*first)).alias("f")] if owners else []))
     ends = edges.where("least <> last or edge = 2").select("key", *(["f.*"] if owners else [])).orderBy("key").toArrow()  # two keys a partition at most
+    if not owners:
+        known = ", ".join(map(str, ends.column("key").to_pylist()))
+        out = scanned.where(f"edge = 0 or key in ({known})" if known else "edge = 0").drop("edge")
+        out.scratch_path = scanned.scratch_path  # type: ignore[attr-defined]
+        return out
     shared = rows.sparkSession.sparkContext.broadcast([c.to_numpy() for c in ends.columns])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,3 +117,36 @@ def shared_runs(rows: DataFrame, scratch: Scratch, extra: tuple[str, ...] = (),
     out = map_arrow(scanned, settle, schema.removesuffix(", edge tinyint"))
     out.scratch_path = scanned.scratch_path  # type: ignore[attr-defined]
     return out
+
+
+def gathered(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(doc, columns as lists) of rows (doc, columns): one row for each doc, its values in one order in all lists.  A doc's rows are held in one task."""
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of the last doc, which may go on
+
+        def out(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            table = pa.Table.from_batches(parts).combine_chunks()
+            doc = table.column(0).to_numpy()
+            begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            offsets = pa.array(np.append(begin, len(doc)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, table.column(c).combine_chunks()) for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array(doc[begin]), *lists], ["doc", *columns])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            doc = batch.column(0).to_numpy()
+            at = int(np.searchsorted(doc, doc[-1]))  # the last doc's first row
+            if held and (at or held[0].column(0)[0].as_py() != doc[0]):
+                yield out([*held, batch.slice(0, at)])
+                held = []
+            elif at:
+                yield out([batch.slice(0, at)])
+            held.append(batch.slice(at))
+        if held:
+            yield out(held)
+
+    ordered = rows.select("doc", *columns).repartition("doc").sortWithinPartitions("doc")
+    return map_arrow(ordered, run, ", ".join(["doc long", *(f"{c} array<{kinds[c]}>" for c in columns)]))

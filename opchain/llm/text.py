@@ -147,7 +147,7 @@ def occurrences(row: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """min(x[i : i + w]) for each i (shorter at the end), by doubling."""
-    out, have = x.copy(), 1
+    out, have, w = x.copy(), 1, min(w, len(x))
     while have < w:
         step = min(have, w - have)
         out[: len(out) - step] = np.minimum(out[: len(out) - step], out[step:])

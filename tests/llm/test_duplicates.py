@@ -3,6 +3,7 @@
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -200,6 +201,41 @@ def test_passages_beyond_the_first_texts(spark):
     assert {(26, i) for i in range(14, 26)} <= got
 
 
+def test_passages_of_texts_with_copies_leave_no_large_tables(spark):
+    """Copies beyond one change nothing but their own rows, short texts alone are no error, and what no result reads is dropped."""
+    from opchain.plans.scratch import shared_folder
+
+    rng = random.Random(6)
+    word = lambda: "w%d" % rng.randrange(10**6)
+    base = [word() for _ in range(90)]
+    near = [*base[:40], word(), *base[40:]]
+    texts = [" ".join(x) for x in (base, near, base, base, base)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.glob("windows-*"))
+    got = sorted(tuple(r)[:6] for r in W.find(docs).collect())
+    assert got == [(1, 0, 91, 0, 0, 90), *((i, 0, 90, 0, 0, 90) for i in (2, 3, 4))]
+    (mine,) = set(folder.glob("windows-*")) - before
+    assert {p.name[4:] for p in mine.iterdir()} <= {"marked", "copies", "repeated", "owners", "pairs", "found"}
+    assert W.find(spark.createDataFrame([(1, "a b c d e f g"), (2, None)], "doc_id long, text string").coalesce(1)).count() == 0
+
+
+@pytest.mark.parametrize("batch", [1, 4, 10_000])
+def test_gathered_in_batches_of_any_size(spark, batch):
+    from opchain.llm.passages import gathered
+
+    rng = random.Random(batch)
+    rows = [(rng.randrange(1 << 40), rng.choice([5, 5, 5, rng.randrange(-9, 9)]), p) for p in range(120)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(batch))
+    try:
+        got = gathered(spark.createDataFrame(rows, "key long, doc long, pos int"), ["key", "pos"]).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len(got) == len({d for _, d, _ in rows}) and sorted((k, r.doc, p) for r in got for k, p in zip(r.key, r.pos, strict=True)) == sorted(rows)
+
+
 def test_near_duplicate_passages(spark):
     texts = made()
     words = [split(t) for t in texts]
