@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import tempfile
@@ -16,6 +17,7 @@ from pyspark.sql import types as St
 _sent: set[str] = set()
 _LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 4 << 20
+FREE_BYTES = 32 << 20
 
 
 def send_package(spark: SparkSession) -> None:
@@ -35,12 +37,41 @@ def send_package(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | St.StructType) -> DataFrame:
-    """df.mapInArrow(fn, schema), in batches of BATCH_BYTES unless the session asks for less: each task holds some batches on both sides."""
+    """df.mapInArrow(fn, schema), in batches of BATCH_BYTES unless the session asks for less: each task holds some batches on both sides.
+
+    A worker serves one task after the other, so it gives back what it has freed every FREE_BYTES of input and at the end of each task.
+    """
     send_package(df.sparkSession)
     conf = df.sparkSession.conf
     if _bytes(conf.get(_LIMIT)) > BATCH_BYTES or _bytes(conf.get(_LIMIT)) <= 0:
         conf.set(_LIMIT, f"{BATCH_BYTES}b")
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(_counted(batches))
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = 0
+    for batch in batches:
+        n += batch.nbytes
+        yield batch
+        del batch
+        if n >= FREE_BYTES:
+            n = 0
+            give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system; Arrow's pool and the C library keep it else, where there is a call for that."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def _bytes(text: str) -> int:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -11,6 +12,7 @@ import pytest
 from opchain.llm import compression_classifier as C
 from opchain.llm import quality_rules as Q
 from opchain.llm import text as T
+from opchain.plans.arrow import FREE_BYTES, map_arrow
 
 ODD = [None, "", " ", "\n\n", "a", "A a\x00b\tc\x0b\x0cd", "é è  ü x", "one two three one two three", "x " * 3000, "#*$%&|<>\n#*$%&|<>\n \n#*$%&|<>", "漢字 kana"]
 DOCS = "doc_id long, text string, lang string, n_words int, kept string, bands int"
@@ -50,6 +52,37 @@ def test_words_and_grams():
     assert h[0] == h[1] == h[2] != h[3]
 
 
+def test_words_of_a_batch_need_little_memory():
+    column = pa.array([" ".join(f"{i * 7919 % 10007}x{j}" for j in range(250)) for i in range(2500)])  # a batch of some 4 MB
+    next(T.words(column))[2].grams(5)  # the tables of powers
+    tracemalloc.start()
+    for _, _, w in T.words(column):
+        w.grams(5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert column.nbytes > 3 << 20 and peak < 12 << 20
+
+
+def test_workers_give_freed_memory_back(spark):
+    def resident():
+        return next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("VmRSS")) >> 10
+
+    def run(batches):
+        for batch in batches:
+            held = [np.ones(1000) for _ in range(25_000)]  # 200 MB in small parts, of which the last one stays
+            held = held[-1:]
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch) + len(held)])], ["id"])
+
+    def now(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([resident()])], ["id"]) for _ in batches)
+
+    one = spark.range(1).coalesce(1)
+    before = max(r.id for r in map_arrow(one, now, "id long").collect())
+    assert [r.id for r in map_arrow(one, run, "id long").collect()] == [2]
+    assert max(r.id for r in map_arrow(one, now, "id long").collect()) < before + 100
+    assert FREE_BYTES < 1 << 30
+
+
 def test_minimisers_cover_every_window():
     rng = np.random.default_rng(1)
     v = rng.integers(1, 50, 400).astype(T.U)
