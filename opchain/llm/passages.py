@@ -1,17 +1,22 @@
-"""What the operators on repeated text share: distinct texts, and runs of equal keys in one sorted order."""
+"""What the operators on repeated text share: distinct texts, runs of equal keys in one sorted order, and rows dealt out in blocks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opchain.llm import text as T
 from opchain.plans.arrow import map_arrow
 from opchain.plans.scratch import Scratch
 
+BLOCK_ROWS = 1 << 19  # rows that are held to be dealt out in blocks
+OFTEN = 64  # rows of one key of some that are dealt out together, beyond which they need no others to be known as shared
+BLOCKS = "bucket int, data binary"
+
 
 def distinct_texts(marked: DataFrame) -> DataFrame:
     """(doc_id, first) of rows (doc_id, text_key): the least doc_id among those with the same text.  Null doc_ids are left out."""
@@ -150,3 +155,143 @@ def gathered(rows: DataFrame, columns: list[str]) -> DataFrame:
 
     ordered = rows.select("doc", *columns).repartition("doc").sortWithinPartitions("doc")
     return map_arrow(ordered, run, ", ".join(["doc long", *(f"{c} array<{kinds[c]}>" for c in columns)]))
+
+
+def blocks(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """(bucket, data): of each bucket the rows of some columns of eight bytes, byte by byte, so that bytes which are alike stand together."""
+    order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
+    bucket = bucket[order]
+    begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(bucket)])
+    rows = np.stack([c[order] for c in columns], 1).view(np.uint8)
+    data = [rows[x:y].T.tobytes() for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
+
+
+def held(parts: Iterator[list[np.ndarray]], most: int = BLOCK_ROWS) -> Iterator[list[np.ndarray]]:
+    """Lists of columns put together to `most` rows or a few more, as numbers of eight bytes."""
+    open_: list[list[np.ndarray]] = []
+    n = 0
+    for part in parts:
+        if len(part[0]):
+            open_.append([c.astype(np.int64, copy=False) for c in part])
+            n += len(part[0])
+        if n >= most:
+            yield [np.concatenate(x) for x in zip(*open_, strict=True)]
+            open_, n = [], 0
+    if open_:
+        yield [np.concatenate(x) for x in zip(*open_, strict=True)]
+
+
+def bucket_of(value: np.ndarray, buckets: int) -> np.ndarray:
+    return (T.mix(value.view(T.U) + T.U(1)) % T.U(buckets)).astype(np.int32)
+
+
+def collected(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Each bucket and its rows' columns, of batches of blocks() of `width` columns in the order of buckets."""
+    parts: list[np.ndarray] = []
+    open_ = 0
+
+    def out() -> tuple[int, list[np.ndarray]]:
+        flat = np.concatenate(parts, 1)
+        return open_, [np.ascontiguousarray(flat[8 * c : 8 * c + 8].T).view(np.int64).ravel() for c in range(width)]
+
+    for batch in batches:
+        for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if parts and bucket != open_:
+                yield out()
+                parts = []
+            open_ = bucket
+            parts.append(np.frombuffer(data.as_buffer(), np.uint8).reshape(8 * width, -1))
+    if parts:
+        yield out()
+
+
+def several(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows' order by key and doc, and in that order whether several docs have the row's key and how many rows do."""
+    order = np.argsort(key)
+    ordered, of = key[order], doc[order]
+    begin = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(key)])
+    size = np.diff(np.append(begin, len(key)))
+    shared = np.minimum.reduceat(of, begin) != np.maximum.reduceat(of, begin) if len(begin) else np.zeros(0, bool)
+    return order, np.repeat(shared, size), np.repeat(size, size)
+
+
+def sent(key: np.ndarray, doc: np.ndarray, often: int = OFTEN) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of some are to meet the others of their key, and of each row how many of these rows have its key.
+
+    All but those of keys that several docs and over `often` rows have: of these so many, and the first and the last by doc, which show to the others that several docs have the key.
+    """
+    order, shared, size = several(key, doc)
+    n, out = np.empty(len(key), np.int64), np.ones(len(key), bool)
+    n[order] = size
+    many = order[shared & (size > often)]
+    if len(many):
+        by = many[np.lexsort((doc[many], key[many]))]
+        edge = np.concatenate([[True], key[by][1:] != key[by][:-1], [True]])
+        begin = np.flatnonzero(edge[:-1])
+        rank = np.arange(len(by)) - np.repeat(begin, np.diff(np.append(begin, len(by))))
+        out[by] = (rank < often) | edge[1:]
+    return out, n
+
+
+def shared_by_doc(rows: DataFrame, parts: Callable[[Iterator[pa.RecordBatch]], Iterator[list[np.ndarray]]], columns: str) -> DataFrame:
+    """(doc, columns as lists) of the rows whose key another doc has too: what gathered(shared_runs()) gives, but rows are dealt out in blocks and sorted as arrays.
+
+    parts makes lists of the columns key, doc and at of batches of rows; at: what else a row has, as one number.
+    columns: names and types of key and at, and of n if wanted: how many rows have the key; of a row that is not sent() as many as were seen beside it.
+
+    The rows of a bucket of keys, later of docs, meet in one task.  A key that very many rows have cannot overload it: of those that a task holds at once a few are sent().
+    """
+    buckets = 4 * partitions(rows)
+    fields = [x.split() for x in columns.split(", ")]
+    types = {"long": np.int64, "int": np.int32}
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, doc, at in held(parts(batches)):
+            meet, n = sent(key, doc)
+            yield blocks(bucket_of(key[meet], buckets), [key[meet], doc[meet], at[meet], np.zeros(int(meet.sum()), np.int64)])
+            if not meet.all():  # known to be shared, so they go by doc, apart from the others
+                yield blocks(bucket_of(doc[~meet], buckets) + np.int32(buckets), [x[~meet] for x in (key, doc, at, n)])
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[list[np.ndarray]]:
+            for bucket, (key, doc, at, n) in collected(batches, 4):
+                if bucket >= buckets:
+                    yield [key, doc, at, n]
+                else:
+                    order, shared, size = several(key, doc)
+                    take = order[shared]
+                    yield [key[take], doc[take], at[take], size[shared]]
+
+        for some in held(found()):
+            yield blocks(bucket_of(some[1], buckets), some)
+
+    def by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (key, doc, at, n) in collected(batches, 4):
+            order = np.lexsort((at, doc))
+            doc = doc[order]
+            begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+            edge = np.append(begin, len(doc)).astype(np.int32)
+            values = [x[order].astype(types[kind]) for x, (_, kind) in zip((key, at, n), fields, strict=False)]
+            for x in range(0, len(begin), 256):
+                some = edge[x : x + 257]
+                lists = [pa.ListArray.from_arrays(pa.array(some - some[0]), pa.array(v[some[0] : some[-1]])) for v in values]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[some[:-1]]), *lists], ["doc", *(c for c, _ in fields)])
+
+    out = map_arrow(rows, keyed, BLOCKS)
+    for step, schema in ((settled, BLOCKS), (by_doc, ", ".join(["doc long", *(f"{c} array<{kind}>" for c, kind in fields)]))):
+        out = map_arrow(out.repartition("bucket").sortWithinPartitions("bucket"), step, schema)
+    return out
+
+
+def among(rows: DataFrame, some: DataFrame, column: str = "doc") -> DataFrame:
+    """The rows whose number in a column is in that column of some, a written table, and a few others: no row goes to another task for it.
+
+    All tasks get a map of eight bits or more for each of those numbers, of which one is set.
+    """
+    bits = 1 << max(10, (8 * some.agg(F.approx_count_distinct(column)).first()[0]).bit_length())
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    held = some.select(place.alias("_at")).groupBy(F.shiftright("_at", 6).alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_at % 64 as int))) as _bits"))
+    at = rows.withColumn("_at", place).withColumn("_word", F.shiftright("_at", 6))
+    found = at.join(F.broadcast(held), "_word").where(F.expr("shiftright(_bits, cast(_at % 64 as int)) & 1 = 1"))
+    return found.select(*rows.columns)

@@ -23,8 +23,7 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 NON_ALNUM = np.zeros(256, bool)
 NON_ALNUM[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
-_SAME = np.arange(256, dtype=np.uint8)
-_LOWER = _SAME.copy()
+_LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
@@ -107,7 +106,10 @@ def segment(data: np.ndarray, offsets: np.ndarray, begins: np.ndarray, ends: np.
     n = len(data)
     up, down = _bytes.get(n + 1)
     total = np.zeros(n + 1, U)
-    np.cumsum(((_LOWER if lower else _SAME)[data].astype(U) + U(1)) * up[:n], out=total[1:])
+    value = (_LOWER[data] if lower else data).astype(U)
+    value += U(1)
+    value *= up[:n]
+    np.cumsum(value, out=total[1:])
     return mix((total[ends] - total[begins]) * down[begins])
 
 

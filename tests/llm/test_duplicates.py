@@ -380,3 +380,62 @@ def test_shared_runs_in_batches_of_any_size(spark, batch):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert {tuple(r)[:3] for r in plain} == {w[:3] for w in want} and len(plain) == len(want)
     assert all(1 <= r.n <= len(by_key[r.key]) for r in plain)
+
+
+def test_rows_dealt_in_blocks_match_brute_force(spark):
+    from opchain.llm import passages as P
+
+    rng = random.Random(5)
+    rows = {(7, rng.randrange(40), p) for p in range(300)}  # a key that OFTEN rows have and more
+    rows |= {(9, 3, p) for p in range(40)}  # a key of one doc alone
+    rows |= {(rng.randrange(-60, 60), rng.randrange(8), rng.randrange(5)) for _ in range(160)}
+    by_key = defaultdict(list)
+    for key, doc, pos in rows:
+        by_key[key].append((doc, pos))
+    want = {(k, d, p) for k, v in by_key.items() if len({d for d, _ in v}) > 1 for d, p in v}
+    table = spark.createDataFrame(sorted(rows), "key long, doc long, pos int").repartition(3)
+    parts = lambda batches: ([c.to_numpy() for c in b.columns] for b in batches)
+    got = P.shared_by_doc(table, parts, "key long, pos int, n int").collect()
+    assert len({r.doc for r in got}) == len(got)
+    flat = [(k, r.doc, p, n) for r in got for k, p, n in zip(r.key, r.pos, r.n, strict=True)]
+    assert len(flat) == len(want) and {x[:3] for x in flat} == want
+    assert all(1 <= n <= len(by_key[k]) for k, _, _, n in flat)
+    lists = spark.createDataFrame([(r.doc, r.key) for r in got], "doc long, key array<long>")
+    some = [7, 8, 1000]
+    held = {r.doc: set(r.wanted) for r in W.holding(lists, spark.createDataFrame([(k,) for k in some], "key long")).collect()}
+    assert held == {r.doc: set(r.key) & set(some) for r in got if set(r.key) & set(some)}
+
+
+def test_a_key_of_many_rows_is_not_sent_to_one_task():
+    from opchain.llm import passages as P
+
+    key, doc = np.array([5] * 1000 + [6] * 1000 + [7, 8]), np.array([*range(1000), *[3] * 1000, 1, 1])
+    sent, n = P.sent(key, doc)
+    assert sent[key == 5].sum() <= P.OFTEN + 2 and {0, 999} <= set(doc[sent & (key == 5)].tolist())
+    assert sent[key != 5].all()  # nobody knows yet whether another doc has them
+    assert n.tolist() == [1000] * 2000 + [1, 1]
+
+
+def test_texts_are_not_dealt_out_again_for_each_join(spark, tmp_path):
+    """A scan for some documents moves no text, and a table that was dealt out by a column is joined by it as it lies."""
+    from opchain.llm import passages as P
+    from opchain.plans.scratch import Scratch
+
+    scratch = Scratch(spark, "t")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(2000)], "doc long, text string")
+    some = scratch.keep(spark.createDataFrame([(i,) for i in range(0, 2000, 40)], "doc long"), "some")
+    found = P.among(docs, some)
+    ids = {r.doc for r in found.collect()}
+    assert set(range(0, 2000, 40)) <= ids and len(ids) < 600
+    texts = scratch.keep_dealt(docs, "texts", "doc", 3)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = some.join(texts, "doc")
+        assert {(r.doc, r.text) for r in joined.collect()} == {(i, f"text {i}") for i in range(0, 2000, 40)}
+        plan = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == 1
+    scratch.drop(texts, some)
+    assert not Path(texts.scratch_path.removeprefix("file://")).exists() and not spark.catalog.tableExists(texts.scratch_table)
