@@ -21,6 +21,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from opchain.plans.arrow import map_arrow
 from opchain.plans.scratch import Scratch
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, at long"
-CACHE = 600_000  # units of text whose ids a worker remembers, some 50 bytes each
+CACHE = 1_500_000  # units of text whose ids a worker remembers, some 50 bytes each
 _UNSURE = np.zeros(256, bool)  # bytes that may begin white space after a blank
 _UNSURE[[*range(0x21), 0x7F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
 _BLANK = np.zeros(256, bool)
@@ -59,21 +60,55 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known, self.slot = np.zeros(0, T.U), np.zeros(0, np.int64)
-        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.n = self.n_ids = 0
+        self.begin, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 13, np.uint32)  # unit i has the ids from begin[i] to begin[i + 1]
+        self._table(1 << 13)
+
+    def _table(self, size: int) -> None:
+        """An empty table of hashes and their units; a hash stands at its own place or the next free one."""
+        self.known, self.slot = np.zeros(size, T.U), np.full(size, -1, np.int32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The units of hashes, -1 if they are not known."""
+        last = T.U(len(self.known) - 1)
+        at = (hashes & last).astype(np.int64)
+        out = self.slot[at]
+        todo = np.flatnonzero((self.known[at] != hashes) & (out >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & int(last)
+            out[todo] = self.slot[at[todo]]
+            todo = todo[(self.known[at[todo]] != hashes[todo]) & (out[todo] >= 0)]
+        return out
+
+    def _put(self, hashes: np.ndarray, units: np.ndarray) -> None:
+        """Adds hashes that are not known, each once."""
+        last = len(self.known) - 1
+        at = (hashes & T.U(last)).astype(np.int64)
+        todo = np.arange(len(hashes))
+        while len(todo):
+            free = todo[self.slot[at[todo]] < 0]
+            self.slot[at[free]] = units[free]  # of several that want one place one gets it
+            got = free[self.slot[at[free]] == units[free]]
+            self.known[at[got]] = hashes[got]
+            todo = todo[self.slot[at[todo]] != units[todo]]
+            at[todo] = (at[todo] + 1) & last
 
     def _learn(self, units: list[str], hashes: np.ndarray) -> None:
-        if len(self.known) + len(hashes) > CACHE and len(self.known):
-            return self._clear()
         found = [e.ids for i in range(0, len(units), 4096) for e in self.tokenizer.encode_batch_fast(units[i : i + 4096], add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
-        begin = len(self.flat) + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        at = np.searchsorted(self.known, hashes)
-        self.slot = np.insert(self.slot, at, len(self.begin) + np.arange(len(hashes)))
-        self.known = np.insert(self.known, at, hashes)
-        self.begin, self.size, self.flat = np.concatenate([self.begin, begin]), np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
-        return None
+        n, ids = self.n + len(found), self.n_ids + int(size.sum())
+        for name, need in (("begin", n + 1), ("flat", ids)):
+            old = getattr(self, name)
+            if need > len(old):
+                setattr(self, name, np.concatenate([old, np.zeros(max(need, len(old) * 3 // 2) - len(old), old.dtype)]))
+        self.begin[self.n + 1 : n + 1] = self.n_ids + np.cumsum(size)
+        self.flat[self.n_ids : ids] = np.fromiter(chain.from_iterable(found), np.uint32, ids - self.n_ids)
+        if 2 * n > len(self.known):
+            known, slot = self.known[self.slot >= 0], self.slot[self.slot >= 0]
+            self._table(1 << (4 * n - 1).bit_length())
+            self._put(known, slot)
+        self._put(hashes, np.arange(self.n, n, dtype=np.int32))
+        self.n, self.n_ids = n, ids
 
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of some rows, offsets of the rows in them)."""
@@ -96,17 +131,19 @@ class Encoder:
             cut[n] = False
             start = np.flatnonzero(cut)
             end = np.append(start[1:], n)
-            each, where, back = np.unique(T.segment(data, off, start, end) if n else np.zeros(0, T.U), return_index=True, return_inverse=True)
-            while True:
-                at = np.searchsorted(self.known, each)
-                new = np.ones(len(each), bool)
-                inside = at < len(self.known)
-                new[inside] = self.known[at[inside]] != each[inside]
-                if not new.any():
-                    break
-                self._learn([raw[start[i] : end[i]].decode() for i in where[new]], each[new])
-            slot = self.slot[np.searchsorted(self.known, each)][back]
-            size, begin = self.size[slot], self.begin[slot]
+            hashes = T.segment(data, off, start, end) if n else np.zeros(0, T.U)
+            slot = self._find(hashes)
+            new = np.flatnonzero(slot < 0)
+            if len(new):
+                each, first = np.unique(hashes[new], return_index=True)
+                if self.n and self.n + len(each) > CACHE:
+                    self._clear()
+                    each, new = np.unique(hashes, return_index=True)
+                    first = np.arange(len(each))
+                self._learn([raw[start[i] : end[i]].decode() for i in new[first]], each)
+                slot = self._find(hashes)
+            begin = self.begin[slot]
+            size = self.begin[slot + 1] - begin
             total = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
             ids = self.flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
             yield a, ids, total[np.searchsorted(start, off)]

@@ -125,6 +125,35 @@ def test_token_ids(tokenizer):
     assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_units_are_found_again(tokenizer, monkeypatch):
+    encoder, learnt = P.Encoder(tokenizer), []
+    plain = encoder.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, units, **options):
+            learnt.extend(units)
+            return plain.encode_batch_fast(units, **options)
+
+    monkeypatch.setattr(encoder, "tokenizer", Counted())
+    texts = pa.array([" ".join(f"{i:x}" for i in range(at, at + 10_000)) for at in range(0, 700_000, 10_000)])
+    first = [ids.tolist() for _, ids, _ in encoder.encode(texts)]
+    n = len(learnt)
+    assert [ids.tolist() for _, ids, _ in encoder.encode(texts)] == first and len(learnt) == n  # nothing is encoded twice
+
+
+def test_units_of_one_place_and_a_full_cache(tokenizer, monkeypatch):
+    encoder = P.Encoder(tokenizer)
+    hashes = np.concatenate([np.arange(1, 900, dtype=np.uint64) << np.uint64(40), np.uint64(8191) + (np.arange(900, dtype=np.uint64) << np.uint64(30)), np.zeros(1, np.uint64)])
+    assert (encoder._find(hashes) < 0).all()
+    encoder._put(hashes, np.arange(len(hashes), dtype=np.int32))
+    assert encoder._find(hashes).tolist() == list(range(len(hashes))) and (encoder._find(hashes + np.uint64(5)) < 0).all()
+    texts = pa.array([f"some words {i} and {i * i} more" for i in range(40)])
+    want = [ids.tolist() for i in range(40) for _, ids, _ in P.Encoder(tokenizer).encode(texts.slice(i, 1))]
+    monkeypatch.setattr(P, "CACHE", 10)
+    small = P.Encoder(tokenizer)
+    assert [ids.tolist() for i in range(40) for _, ids, _ in small.encode(texts.slice(i, 1))] == want and small.n <= 10
+
+
 def test_packing_round_trip(spark, tokenizer):
     from tokenizers import Tokenizer
 
