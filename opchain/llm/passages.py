@@ -162,8 +162,8 @@ def blocks(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     order = np.argsort(bucket.astype(np.uint16) if bucket.max(initial=0) < 1 << 16 else bucket, kind="stable")
     bucket = bucket[order]
     begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])[: len(bucket)])
-    rows = np.stack([c[order] for c in columns], 1).view(np.uint8)
-    data = [rows[x:y].T.tobytes() for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True)]
+    rows = np.concatenate([np.ascontiguousarray(c[order].view(np.uint8).reshape(-1, 8).T) for c in columns])
+    data = [rows[:, x:y].tobytes() for x, y in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True)]
     return pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), pa.array(data, pa.binary())], ["bucket", "data"])
 
 
@@ -242,7 +242,7 @@ def shared_by_doc(rows: DataFrame, parts: Callable[[Iterator[pa.RecordBatch]], I
 
     The rows of a bucket of keys, later of docs, meet in one task.  A key that very many rows have cannot overload it: of those that a task holds at once a few are sent().
     """
-    buckets = 4 * partitions(rows)
+    buckets = partitions(rows)  # each task makes a block for each of them
     fields = [x.split() for x in columns.split(", ")]
     types = {"long": np.int64, "int": np.int32}
 
