@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from opchain.plans.scratch import Scratch
 BLOCK_ROWS = 1 << 19  # rows that are held to be dealt out in blocks
 OFTEN = 64  # rows of one key of some that are dealt out together, beyond which they need no others to be known as shared
 BLOCKS = "bucket int, data binary"
+MAP_BITS = 1 << 28  # of a map of keys at most; beyond that more rows pass it that have none of the keys
 
 
 def distinct_texts(marked: DataFrame) -> DataFrame:
@@ -186,6 +188,51 @@ def bucket_of(value: np.ndarray, buckets: int) -> np.ndarray:
     return (T.mix(value.view(T.U) + T.U(1)) % T.U(buckets)).astype(np.int32)
 
 
+def table_bucket(value: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket in which Spark has rows by a long, in tables and in joins: its murmur hash with seed 42, modulo their number."""
+    u = np.uint32
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << u(by)) | (x >> u(32 - by))
+
+    h = np.full(len(value), 42, u)
+    for half in (value & 0xFFFFFFFF, value >> 32 & 0xFFFFFFFF):
+        h = turned(h ^ (turned(half.astype(u) * u(0xCC9E2D51), 15) * u(0x1B873593)), 13) * u(5) + u(0xE6546B64)
+    h ^= u(8)
+    for by, times in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> u(by))) * u(times)
+    return ((h ^ (h >> u(16))).view(np.int32) % np.int32(buckets)).astype(np.int32)
+
+
+def _probes(key: np.ndarray, bits: int) -> list[np.ndarray]:
+    x = T.mix(key.view(T.U) + T.U(2))
+    return [(x >> T.U(by) & T.U(bits - 1)).view(np.int64) for by in (0, 32)]
+
+
+def key_map(keys: DataFrame, most: int = MAP_BITS) -> Broadcast:
+    """A map for may_be() of keys (key), a table or a few: two bits for each key, of eight or more while there are not over `most` in all."""
+    bits = min(1 << max(10, (8 * keys.count()).bit_length()), most)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key,) in held([batch.column(0).to_numpy()] for batch in batches):
+            at = np.unique(np.concatenate(_probes(key, bits)))
+            word, begin = np.unique(at >> 6, return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(np.bitwise_or.reduceat(np.int64(1) << (at & 63), begin))], ["word", "bits"])
+
+    found = map_arrow(keys.select("key"), run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def may_be(key: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each key is among those of a key_map(); a few that are not are taken for some that are."""
+    out = np.ones(len(key), bool)
+    for at in _probes(key, 64 * len(known)):
+        out &= (known[at >> 6] >> (at & 63) & 1).astype(bool)
+    return out
+
+
 def collected(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Each bucket and its rows' columns, of batches of blocks() of `width` columns in the order of buckets."""
     parts: list[np.ndarray] = []
@@ -234,13 +281,15 @@ def sent(key: np.ndarray, doc: np.ndarray, often: int = OFTEN) -> tuple[np.ndarr
     return out, n
 
 
-def shared_by_doc(rows: DataFrame, parts: Callable[[Iterator[pa.RecordBatch]], Iterator[list[np.ndarray]]], columns: str) -> DataFrame:
+def shared_by_doc(rows: DataFrame, parts: Callable[[Iterator[pa.RecordBatch]], Iterator[list[np.ndarray]]], columns: str, scratch: Scratch | None = None) -> DataFrame:
     """(doc, columns as lists) of the rows whose key another doc has too: what gathered(shared_runs()) gives, but rows are dealt out in blocks and sorted as arrays.
 
     parts makes lists of the columns key, doc and at of batches of rows; at: what else a row has, as one number.
     columns: names and types of key and at, and of n if wanted: how many rows have the key; of a row that is not sent() as many as were seen beside it.
 
-    The rows of a bucket of keys, later of docs, meet in one task.  A key that very many rows have cannot overload it: of those that a task holds at once a few are sent().
+    With scratch the rows that are to go by doc are written first, and what was shuffled for them goes; the result reads that table, which Scratch.drop() takes away.
+
+    The rows of a bucket of keys, later of docs, meet in one task.  Docs are dealt out as by Spark, for Scratch.keep_dealt().  A key that very many rows have cannot overload it: of those that a task holds at once a few are sent().
     """
     buckets = partitions(rows)  # each task makes a block for each of them
     fields = [x.split() for x in columns.split(", ")]
@@ -264,7 +313,8 @@ def shared_by_doc(rows: DataFrame, parts: Callable[[Iterator[pa.RecordBatch]], I
                     yield [key[take], doc[take], at[take], size[shared]]
 
         for some in held(found()):
-            yield blocks(bucket_of(some[1], buckets), some)
+            order = np.lexsort((some[2], some[1]))  # so most bytes of doc and at are alike in a block
+            yield blocks(table_bucket(some[1][order], buckets), [c[order] for c in some])
 
     def by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (key, doc, at, n) in collected(batches, 4):
@@ -278,9 +328,15 @@ def shared_by_doc(rows: DataFrame, parts: Callable[[Iterator[pa.RecordBatch]], I
                 lists = [pa.ListArray.from_arrays(pa.array(some - some[0]), pa.array(v[some[0] : some[-1]])) for v in values]
                 yield pa.RecordBatch.from_arrays([pa.array(doc[some[:-1]]), *lists], ["doc", *(c for c, _ in fields)])
 
-    out = map_arrow(rows, keyed, BLOCKS)
-    for step, schema in ((settled, BLOCKS), (by_doc, ", ".join(["doc long", *(f"{c} array<{kind}>" for c, kind in fields)]))):
-        out = map_arrow(out.repartition("bucket").sortWithinPartitions("bucket"), step, schema)
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+    met = map_arrow(dealt(map_arrow(rows, keyed, BLOCKS)), settled, BLOCKS)
+    if scratch:
+        met = scratch.keep(met, "blocks")
+    out = map_arrow(dealt(met), by_doc, ", ".join(["doc long", *(f"{c} array<{kind}>" for c, kind in fields)]))
+    if scratch:
+        out.scratch_path = met.scratch_path  # type: ignore[attr-defined]
     return out
 
 

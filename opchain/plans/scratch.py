@@ -58,15 +58,17 @@ class Scratch:
         out.scratch_path = path  # type: ignore[attr-defined]
         return out
 
-    def keep_dealt(self, df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    def keep_dealt(self, df: DataFrame, name: str, column: str, buckets: int, dealt: bool = False) -> DataFrame:
         """keep() for a table that is joined by one column again and again: its rows are dealt out by it once, not for each join.
 
+        dealt: the rows of a bucket are in one task already, or in few.
+
         Spark finds such tables by name only, so until drop() one is in the session's catalog, with its files in the shared folder.
         """
         self.n += 1
         path, table = f"{self.root}/{self.n:03d}-{name}", f"{name}_{uuid.uuid4().hex[:12]}"
         with shuffles_dropped(self.spark):
-            df.repartition(buckets, column).write.bucketBy(buckets, column).format("parquet").option("path", path).saveAsTable(table)
+            (df if dealt else df.repartition(buckets, column)).write.bucketBy(buckets, column).format("parquet").option("path", path).saveAsTable(table)
         out = self.spark.table(table)
         out.scratch_path, out.scratch_table = path, table  # type: ignore[attr-defined]
         return out

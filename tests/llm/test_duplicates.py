@@ -439,3 +439,37 @@ def test_texts_are_not_dealt_out_again_for_each_join(spark, tmp_path):
     assert plan.count("Exchange") == 1
     scratch.drop(texts, some)
     assert not Path(texts.scratch_path.removeprefix("file://")).exists() and not spark.catalog.tableExists(texts.scratch_table)
+
+
+def test_only_runs_that_may_be_wanted_go_to_other_tasks(spark):
+    """A map of keys passes all of them and few others; texts without two functions' windows over one run are left out; Spark's buckets are known."""
+    from opchain.llm import passages as P
+    from opchain.plans.scratch import Scratch
+
+    rng = np.random.default_rng(3)
+    some, others = rng.integers(-(1 << 62), 1 << 62, 3000), rng.integers(-(1 << 62), 1 << 62, 20000)
+    known = P.key_map(spark.createDataFrame([(int(k),) for k in some], "key long").repartition(3)).value
+    assert P.may_be(some, known).all() and P.may_be(others, known).mean() < 0.1
+    at = lambda *wins: W._packed(*(np.array(x) for x in zip(*wins, strict=True))).tolist()
+    rows = [(1, at((5, 0, 5, 60), (70, 1, 4, 50))), (2, at((5, 0, 5, 60), (70, 1, 5, 50))), (3, at((5, 2, 5, 60), (9, 2, 5, 60)))]
+    found = W.deep(spark.createDataFrame([(d, [0] * len(x), x) for d, x in rows], "doc long, key array<long>, at array<long>"))
+    assert [r.doc for r in found.collect()] == [2]
+    docs = spark.createDataFrame([(int(k), "x") for k in others[:500]] + [(-1, "x"), (0, "x")], "doc long, text string")
+    got = docs.selectExpr("doc", "pmod(hash(doc), 7) as b").toArrow()
+    assert P.table_bucket(got.column(0).to_numpy(), 7).tolist() == got.column(1).to_pylist()
+    scratch = Scratch(spark, "t")
+    table = scratch.keep_dealt(docs.coalesce(1), "docs", "doc", 7, dealt=True)
+    assert sorted(table.collect()) == sorted(docs.collect()) and len(table.inputFiles()) == 7
+    scratch.drop(table)
+
+
+def test_passages_of_compressed_texts_are_the_same(spark):
+    rng = random.Random(8)
+    base = [rng.choice("abcdefghij") * rng.randrange(1, 9) + "é%d" % rng.randrange(900) for _ in range(150)]
+    texts = [(0, " ".join(base)), (1, " ".join([*base[:60], "x", *base[60:]])), (2, ""), (3, None), (4, " ".join(base[20:90]))]
+    texts = spark.createDataFrame(texts, "doc long, text string")
+    pairs = spark.createDataFrame([(a, b) for a in range(5) for b in range(a)], "doc long, owner long")
+    packed = W.squeezed(texts)
+    assert dict(packed.dtypes)["text"] == "binary"
+    want = sorted(W.verify(pairs, texts).collect())
+    assert len(want) >= 3 and sorted(W.verify(pairs, packed).collect()) == want
